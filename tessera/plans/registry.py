@@ -1,0 +1,4 @@
+"""All queries of the curation operators with their SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
