@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import tokens
-from tessera.llm.common import hashed_rank, read, written
+from tessera.llm.common import chunks, hashed_rank, read, written
 
 CAPACITY = 1024
 SLOTS = "length int, low long, high long, first_sequence long, offset int"
@@ -75,19 +75,18 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens.encoder(vocabulary)
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, 1)):
             offsets, ids = coder.encode(batch.column(1))
-            offsets, ids = offsets.tolist(), ids.astype("<u4")
-            name = batch.column(0).to_pylist()
-            rows: list[list] = [[], [], [], [], []]
-            for i, doc in enumerate(name):
-                own = np.append(ids[offsets[i] : offsets[i + 1]], np.uint32(end)).astype("<u4").tobytes()
-                n = len(own) // 4
-                for start in range(0, n, capacity):
-                    data = own[4 * start : 4 * (start + capacity)]
-                    for column, value in zip(rows, (doc, start, len(data) // 4, n, data), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.binary())], ["id", "start", "length", "doc_tokens", "ids"])
+            flat = np.insert(ids, offsets[1:], np.uint32(end)).astype("<u4")
+            size = np.diff(offsets) + 1
+            count = -(-size // capacity)
+            doc = np.repeat(np.arange(len(size)), count)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * capacity
+            length = np.minimum(capacity, size[doc] - start)
+            edges = np.concatenate([[0], np.cumsum(length)]).astype(np.int32) * 4
+            data = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(flat)])
+            columns = [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length.astype(np.int32)), pa.array(size[doc]), data]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "start", "length", "doc_tokens", "ids"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(cut, "id long, start long, length int, doc_tokens long, ids binary")
 

@@ -17,12 +17,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces that a worker remembers; beyond that it starts anew.
-MEMO = 1_000_000
+MEMO = 700_000
+#: New words that are encoded as one text; the bytes of its ids tell where each word's end.
+JOINED = 2_000
 #: White space before a space: such texts are cut by _CUT, which looks at the character before.
 _ODD = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 _CUT = re.compile(r"(?<=\S)(?= )")
-#: Punctuation after a letter or digit starts a pre-token, so it may be cut off there.
-_CLOSING = ".,;:!?*$%&|#\"()"
 
 
 def default_path() -> str:
@@ -38,42 +38,42 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()  # a byte-level token has a character for each byte
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.widths[number] = len(token)
         self._forget()
 
     def _forget(self) -> None:
-        """The memo gives a piece's number; pool holds all ids, start and size where a piece's lie."""
-        self.memo: dict[str, int] = {"": 0}
-        self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
-
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
-        memo = self.memo
-        new = list(dict.fromkeys(p for p in pieces if p not in memo))
+        """A memo gives a word's number, one for words after a space and one for first words; pool holds all ids, start and size where a word's lie."""
+        self.memo: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _numbers(self, words: list[str], prefix: str) -> np.ndarray:
+        """The number of each piece prefix + word."""
+        memo = self.memo[1 if prefix else 0]
+        new = [w for w in dict.fromkeys(words) if w not in memo]
         if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
-            memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
+            if prefix:  # a piece that ends in white space may not stand before another
+                new.sort(key=lambda w: not w or w[-1].isspace())
+                closed = next((k for k, w in enumerate(new) if not w or w[-1].isspace()), len(new))
+                groups = [prefix + prefix.join(new[k : min(k + JOINED, closed)]) for k in range(0, closed, JOINED)] + [prefix + w for w in new[closed:]]
+            else:
+                groups = new
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)]
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, sum(map(len, ids)))
+            bytes_before = np.cumsum(pc.binary_length(pa.array(new, pa.large_string())).to_numpy() + len(prefix))
+            last = np.searchsorted(np.cumsum(self.widths[flat]), bytes_before, side="right")
+            size = np.diff(last, prepend=0)
+            known = len(self.size)
+            memo.update(zip(new, range(known, known + len(new)), strict=True))
             self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
             self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, flat])
-        return np.fromiter(map(memo.__getitem__, pieces), np.int64, len(pieces))
-
-    def _words(self, words: list[str], spaced: np.ndarray) -> np.ndarray:
-        """For each word (with a space before it where spaced) the numbers of its stem and its closing punctuation."""
-        stems, tails = [], []
-        for w, s in zip(words, spaced.tolist(), strict=True):
-            stem = w.rstrip(_CLOSING)
-            if stem and stem[-1].isalnum():
-                tails.append(w[len(stem) :])
-            else:
-                stem = w
-                tails.append("")
-            stems.append(" " + stem if s else stem)
-        n = len(stems)
-        return self._numbers(stems + tails).reshape(2, n).T
+        return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): text i has ids[offsets[i]:offsets[i + 1]]; a null text has none."""
-        if len(self.memo) > MEMO:
+        if len(self.size) > MEMO:
             self._forget()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         n = len(texts)
@@ -82,26 +82,23 @@ class Encoder:
         words = pc.split_pattern(plain, " ")
         starts = words.offsets.to_numpy().astype(np.int64)
         coded = words.values.dictionary_encode()
-        code = coded.indices.to_numpy().astype(np.int64)
-        names, inner = coded.dictionary.to_pylist(), np.ones(len(coded.dictionary), bool)
-        table = self._words(names, inner)
-        parts = table[code]
-        first = starts[:-1]
-        parts[first] = self._words([names[c] for c in code[first].tolist()], np.zeros(n, bool))
+        code = coded.indices.to_numpy()
+        names, first = coded.dictionary.to_pylist(), starts[:-1]
+        number = self._numbers(names, " ")[code]
+        number[first] = self._numbers([names[c] for c in code[first].tolist()], "")
         rows = np.repeat(np.arange(n), np.diff(starts))
         if odd.any():
             cuts = [(i, _CUT.split(texts[i].as_py())) for i in np.flatnonzero(odd).tolist()]
-            more = self._numbers([p for _, cut in cuts for p in cut])
+            more = self._numbers([p for _, cut in cuts for p in cut], "")
             rows = np.concatenate([rows, np.repeat([i for i, _ in cuts], [len(cut) for _, cut in cuts])])
-            parts = np.concatenate([parts, np.stack([more, np.zeros_like(more)], axis=1)])
+            number = np.concatenate([number, more])
             order = np.argsort(rows, kind="stable")
-            rows, parts = rows[order], parts[order]
-        number = parts.ravel()
+            rows, number = rows[order], number[order]
         lengths = self.size[number]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.repeat(self.start[number] - (ends - lengths), lengths) + np.arange(total)]
-        sums = np.bincount(rows, weights=lengths.reshape(-1, 2).sum(axis=1), minlength=n).astype(np.int64) if n else np.zeros(0, np.int64)
+        ids = self.pool.take(np.repeat(self.start[number] - (ends - lengths), lengths) + np.arange(total))
+        sums = np.bincount(rows, weights=lengths, minlength=n).astype(np.int64) if n else np.zeros(0, np.int64)
         return np.concatenate([[0], np.cumsum(sums)]).astype(np.int64), ids
 
 
