@@ -2,7 +2,7 @@
 
 Documents are sorted by id across shards (range partitions), encoded, ended with an end id and
 laid end to end; each shard is one Arrow file whose batches hold equal-length sequences and masks
-as fixed-size lists, so sequence k is reached by arithmetic alone and read without a copy from a
+as fixed-size lists (16-bit ids where the vocabulary allows), so sequence k is reached by arithmetic alone and read without a copy from a
 memory map. A second Arrow file per shard has each document's place. The files lie in a shared
 folder; a manifest table lists those of the attempts that were committed, so a task that ran twice
 or was lost leaves nothing that is read.
@@ -21,15 +21,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import tokens
-from tessera.llm.common import read, scratch, written
+from tessera.llm.common import chunks, read, scratch, written
 
 #: Ids of a sequence, and sequences of a batch.
 LENGTH, ROWS = 1024, 256
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def _schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def _schema(length: int, kind: pa.DataType) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 def _filesystem(path: str):
@@ -41,16 +41,17 @@ def _filesystem(path: str):
 class _Shard:
     """Writes one shard with the memory of one batch."""
 
-    def __init__(self, folder: str, name: str, length: int, rows: int):
+    def __init__(self, folder: str, name: str, length: int, rows: int, kind: pa.DataType):
         store, base = _filesystem(folder)
         store.create_dir(base, recursive=True)
         self.name, self.length, self.rows, self.total, self.docs = name, length, rows, 0, 0
         self.sinks = [store.open_output_stream(f"{base}/{name}.arrow"), store.open_output_stream(f"{base}/{name}.index.arrow")]
-        self.ids, self.index = pa.ipc.new_file(self.sinks[0], _schema(length)), pa.ipc.new_file(self.sinks[1], INDEX)
-        self.rest = np.zeros(0, np.uint32)
+        self.ids, self.index = pa.ipc.new_file(self.sinks[0], _schema(length, kind)), pa.ipc.new_file(self.sinks[1], INDEX)
+        self.kind = kind.to_pandas_dtype()
+        self.rest = np.zeros(0, self.kind)
 
     def _write(self, flat: np.ndarray, used: int) -> None:
-        mask = (np.arange(len(flat)) < used).astype(np.uint8)
+        mask = np.arange(len(flat)) < used
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, mask)]
         self.ids.write_batch(pa.RecordBatch.from_arrays(lists, ["ids", "mask"]))
 
@@ -58,7 +59,7 @@ class _Shard:
         starts = self.total + np.cumsum(counts) - counts
         self.index.write_batch(pa.RecordBatch.from_arrays([docs.cast(pa.int64()), pa.array(starts), pa.array(counts)], schema=INDEX))
         self.total, self.docs = self.total + int(counts.sum()), self.docs + len(docs)
-        data, size = np.concatenate([self.rest, flat]), self.length * self.rows
+        data, size = np.concatenate([self.rest, flat.astype(self.kind)]), self.length * self.rows
         whole = len(data) // size * size
         for at in range(0, whole, size):
             self._write(data[at : at + size], size)
@@ -67,7 +68,7 @@ class _Shard:
     def close(self) -> None:
         if len(self.rest):
             padded = -(-len(self.rest) // self.length) * self.length
-            self._write(np.concatenate([self.rest, np.zeros(padded - len(self.rest), np.uint32)]), len(self.rest))
+            self._write(np.concatenate([self.rest, np.zeros(padded - len(self.rest), self.kind)]), len(self.rest))
         for x in (self.ids, self.index, *self.sinks):
             x.close()
 
@@ -81,10 +82,9 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, shard = tokens.encoder(vocabulary), None
         number = TaskContext.get().partitionId()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            shard = shard or _Shard(folder, f"shard-{number:06d}-{uuid.uuid4().hex}", length, ROWS)
+        kind = pa.uint16() if max(coder.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else pa.uint32()
+        for batch in (part for whole in batches for part in chunks(whole, 1)):
+            shard = shard or _Shard(folder, f"shard-{number:06d}-{uuid.uuid4().hex}", length, ROWS, kind)
             offsets, ids = coder.encode(batch.column(1))
             flat = np.insert(ids, offsets[1:], np.uint32(end))
             shard.add(batch.column(0), np.diff(offsets) + 1, flat)
@@ -131,7 +131,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                                     ids = data.get_batch(held).column(0).values.to_numpy()
                                 low = at % size
                                 high = min(low + start + n - at, size)
-                                value = zlib.crc32(ids[low:high].astype("<u4", copy=False), value)
+                                value = zlib.crc32(ids[low:high].astype("<u4"), value)
                                 at += high - low
                             sums.append(value)
                         yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(docs.column(1).to_numpy() + first), docs.column(2), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
