@@ -2,9 +2,18 @@
 
 Documents are multisets of five-word shingles. (1) Texts with equal words form classes; one of a class goes on.
 (2) Bands of a weighted-Jaccard signature give candidates. A bucket's members are first compared with one leader only, so a bucket of n
-costs n pairs; (3) links are verified on the texts and joined to groups; (4) members of one bucket
-that are still in different groups are then compared with each other, all of them, so no
-candidate link is lost. Pairs whose lengths or signature sketches rule out the threshold are not formed.
+costs n pairs: the one with most company in all its buckets, which is the middle of a cloud of copies;
+(3) links are verified on the texts and joined to groups; (4) members in different groups that were both
+compared with a leader can only be alike if their differences from that leader share an element (see
+Differences), so only such pairs are compared; members that no leader was compared with are compared with all of their bucket.
+No candidate link is lost. Pairs whose lengths or signature sketches rule out the threshold are not formed.
+
+Differences. Let |x ^ y| be the size of the symmetric difference of two multisets. x and y are linked when
+|x ^ y| <= R (|x| + |y|), R = (1 - T) / (1 + T). For a leader c let X = x ^ c and Y = y ^ c; then
+|x ^ y| = |X| + |Y| - 2 |X & Y| and |y| <= |c| + |Y|. If x is not linked with c, E = |X| - R (|x| + |c|) > 0, and
+a link of x and y needs |X & Y| >= (E + (1 - R) |Y|) / 2, which is more than (1 - R) |Y| / 2, and at least E / (1 + R). So by the prefix
+principle X and Y share one of the first |X| - need + 1 elements of X and one of the first |Y| - need + 1 of Y in any common
+order. Elements that x adds to c come first, since others rarely add the same.
 """
 
 from __future__ import annotations
@@ -20,9 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bagminhash import mix, signatures
-from tessera.llm.common import read, written
+from tessera.llm.common import chunks, read, written
 
 WORDS, THRESHOLD = 5, 0.8
+RATIO = (1 - THRESHOLD) / (1 + THRESHOLD)
 #: Signature: BANDS x WIDTH registers (a pair at 0.8 shares no band once in 140,000), and two 64-bit sketches of their low bits.
 BANDS, WIDTH = 30, 5
 #: Sketch bits that may differ: 128 bits of a pair at 0.8 differ in 12.8 on average; this is over six standard deviations more.
@@ -61,21 +71,12 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[
     return doc[head], whole[head], count, digests
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(sizes) // CHUNK
-    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(edges, edges[1:], strict=False):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def described(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """id, digest of the words, weight (number of shingles), s0 and s1 (sketches), bands (a hash for each band)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _chunks(whole):
+            for batch in chunks(whole, 1, CHUNK):
                 n = batch.num_rows
                 doc, shingle, count, digests = shingles(batch.column(1))
                 sig = signatures(doc, shingle, count, n, BANDS * WIDTH)
@@ -99,31 +100,75 @@ def _possible(a: str, b: str) -> Column:
     return (low >= F.ceil(high * THRESHOLD)) & (differ <= SKETCH)
 
 
-def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Weighted Jaccard similarity of the shingles of each pair of texts."""
+def differences(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of each pair of texts (leader, member): similarity, sizes of both, added and missing elements of the member, and these elements' hashes (added ones have the low bit) with their offsets."""
     (d1, s1, c1, _), (d2, s2, c2, _) = shingles(a), shingles(b)
-    doc, key, count = np.concatenate([d1, d2]), np.concatenate([s1, s2]), np.concatenate([c1, c2])
+    n = len(a)
+    doc, key = np.concatenate([d1, d2]), np.concatenate([s1, s2])
+    left, right = np.concatenate([c1, np.zeros_like(c2)]), np.concatenate([np.zeros_like(c1), c2])
     order = np.lexsort((key, doc))
-    doc, key, count = doc[order], key[order], count[order]
-    both = np.flatnonzero((doc[1:] == doc[:-1]) & (key[1:] == key[:-1]))
-    shared = np.bincount(doc[both], weights=np.minimum(count[both], count[both + 1]), minlength=len(a))
-    total = np.bincount(doc, weights=count, minlength=len(a))
-    return np.where(total - shared > 0, shared / np.maximum(total - shared, 1), 1.0)
+    doc, key, left, right = doc[order], key[order], left[order], right[order]
+    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    if len(head):
+        left, right = np.add.reduceat(left, head), np.add.reduceat(right, head)
+    doc, key = doc[head], key[head]
+    size_a, size_b = (np.bincount(doc, weights=w, minlength=n).astype(np.int64) for w in (left, right))
+    shared = np.bincount(doc, weights=np.minimum(left, right), minlength=n).astype(np.int64)
+    more = np.abs(right - left)
+    number = np.repeat(np.arange(len(more)), more)
+    occurrence = np.minimum(left, right)[number] + np.arange(len(number)) - np.repeat(np.cumsum(more) - more, more)
+    added = (right > left)[number]
+    element = (mix(key[number] + mix(occurrence.astype(np.uint64))) & ~np.uint64(1)) | added.astype(np.uint64)
+    doc = doc[number]
+    order = np.lexsort((element, ~added, doc))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))]).astype(np.int64)
+    similarity = np.where(size_a + size_b > shared, shared / np.maximum(size_a + size_b - shared, 1), 1.0)
+    return similarity, size_a, size_b, np.bincount(doc[added], minlength=n), np.bincount(doc[~added], minlength=n), element[order], offsets
+
+
+def _prefixes(element: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> pa.Array:
+    """The first keep[i] elements of each list."""
+    keep = np.clip(keep, 0, np.diff(offsets))
+    ends = np.cumsum(keep)
+    at = np.repeat(offsets[:-1] - (ends - keep), keep) + np.arange(int(keep.sum()))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(element[at].view(np.int64)))
+
+
+COMPARED = "a long, b long, similarity double, size_b long, added long, missing long, probe array<long>, lookup array<long>"
+
+
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """COMPARED for pairs (leader a, member b): probe (for members that are not linked) and lookup are the prefixes of the difference from the leader."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in chunks(whole, 3, CHUNK)):
+            similarity, size_a, size_b, added, missing, element, offsets = differences(batch.column(2), batch.column(3))
+            total = added + missing
+            excess = total - RATIO * (size_a + size_b)
+            probe = _prefixes(element, offsets, np.where(similarity < THRESHOLD, total - np.maximum(1, np.ceil(excess / (1 + RATIO) - 1e-9)).astype(np.int64) + 1, 0))
+            lookup = _prefixes(element, offsets, total - np.floor((1 - RATIO) * total / 2 - 1e-9).astype(np.int64))
+            columns = [batch.column(0), batch.column(1), pa.array(similarity), pa.array(size_b), pa.array(added), pa.array(missing), probe, lookup]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in COMPARED.split(", ")])
+
+    return _with_texts(pairs, texts).mapInArrow(compare, COMPARED)
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b and the texts of both; texts has one row per id."""
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("_ta"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("_tb"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose texts overlap by THRESHOLD or more, with their similarity. texts: one row per id."""
+    """The pairs (a, b) of ids whose texts overlap by THRESHOLD or more."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _chunks(whole):
-                found = overlap(batch.column(2), batch.column(3))
-                out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["a", "b", "similarity"])
-                yield out.filter(pa.array(found >= THRESHOLD))
+        for batch in (part for whole in batches for part in chunks(whole, 3, CHUNK)):
+            linked = pa.array(differences(batch.column(2), batch.column(3))[0] >= THRESHOLD)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(linked), batch.column(1).filter(linked)], ["a", "b"])
 
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("_ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("_tb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb").mapInArrow(check, "a long, b long, similarity double")
+    return _with_texts(pairs, texts).mapInArrow(check, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -162,26 +207,22 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     first = written(first, "classes")
     representative = F.struct("id", "weight", "s0", "s1")
     reps = signed.join(first.select("digest", F.col("class_id").alias("id")), ["digest", "id"]).where("weight > 0").dropDuplicates(["id"])
-    members = reps.select(representative.alias("m"), F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("m").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    busy = written(members.join(buckets, "band"), "busy")
-    star = busy.where((F.col("m.id") != F.col("lead.id")) & _possible("m", "lead")).select(F.col("lead.id").alias("a"), F.col("m.id").alias("b")).distinct()
+    members = written(reps.select(representative.alias("m"), F.explode("bands").alias("band")), "members")
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = members.join(sizes, "band")
+    company = shared.groupBy(F.col("m.id").alias("_id")).agg(F.sum("n").alias("company"))
+    shared = written(shared.join(company, F.col("m.id") == F.col("_id")).select("band", "m", "company"), "shared")
+    leads = shared.groupBy("band").agg(F.min(F.struct(-F.col("company"), "m")).alias("best")).select("band", F.col("best.m").alias("lead"))
+    busy = shared.join(leads, "band").select("band", "m", "lead", ((F.col("m.id") == F.col("lead.id")) | _possible("m", "lead")).alias("starred"))
+    busy = written(busy, "busy")
+    star = busy.where(F.col("starred") & (F.col("m.id") != F.col("lead.id"))).select(F.col("lead.id").alias("a"), F.col("m.id").alias("b")).distinct()
     star = written(star, "star")
-    needed = written(star.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")
-    links = written(verified(star, _texts_of(base, needed)), "verified")
+    seen = written(compared(star, _texts_of(base, star)), "compared")
+    links = written(seen.where(F.col("similarity") >= THRESHOLD).select("a", "b"), "links")
     labels = written(components(links), "labels")
-    placed = busy.join(labels.withColumnRenamed("id", "_id"), F.col("m.id") == F.col("_id"), "left")
-    placed = placed.select("band", "m", F.coalesce("root", F.col("m.id")).alias("root"), F.col("lead.id").alias("lead_id"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("m.id") == F.col("lead_id"), F.col("root"))).alias("lead_root")).where("low <> high")
-    open_ = written(placed.join(mixed.select("band", "lead_root"), "band"), "open")
-    x = open_.where(F.col("root") != F.col("lead_root")).select("band", F.col("m").alias("x"), F.col("root").alias("rx"))
-    y = open_.select("band", F.col("m").alias("y"), F.col("root").alias("ry"), (F.col("root") == F.col("lead_root")).alias("led"))
-    cross = x.join(y, (x["band"] == y["band"]) & (F.col("rx") != F.col("ry")) & (F.col("led") | (F.col("x.id") < F.col("y.id"))) & _possible("x", "y"))
-    cross = cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    cross = written(cross, "cross")
+    cross = written(_apart(seen, labels).unionByName(_unled(busy, labels)).distinct().join(_both_ways(star), ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
-        more = written(cross.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed2")
-        links = written(links.unionByName(verified(cross, _texts_of(base, more))), "links2")
+        links = written(links.unionByName(verified(cross, _texts_of(base, cross))), "links2")
         labels = written(components(links), "labels2")
     counts = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
     known = first.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").join(counts, "class_id", "left")
@@ -191,8 +232,39 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     return out.select("id", F.when(~alone, F.col("class_id")).alias("class_id"), F.when(~alone, F.col("group_id")).alias("group_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).alias("n_links"))
 
 
-def _texts_of(base: DataFrame, needed: DataFrame) -> DataFrame:
-    """The texts of the ids a verification needs, one row each."""
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _apart(seen: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of members of one leader, in different groups, whose differences from it allow a link."""
+    rooted = seen.join(labels.withColumnRenamed("id", "_id"), F.col("b") == F.col("_id"), "left").withColumn("root", F.coalesce("root", "b")).drop("_id")
+    failed = F.col("similarity") < THRESHOLD
+    x = rooted.where(failed).select("a", F.col("b").alias("x"), F.col("root").alias("rx"), F.col("size_b").alias("nx"), F.col("added").alias("ax"), F.col("missing").alias("mx"), F.size("probe").alias("px"), F.explode("probe").alias("e"))
+    crowded = x.select("a").distinct()
+    y = rooted.join(crowded, "a", "left_semi").select("a", F.col("b").alias("y"), F.col("root").alias("ry"), failed.alias("fy"), F.col("size_b").alias("ny"), F.col("added").alias("ay"), F.col("missing").alias("my"), F.size("lookup").alias("py"), F.explode("lookup").alias("e"))
+    need = (F.col("ax") + F.col("mx") + F.col("ay") + F.col("my") - RATIO * (F.col("nx") + F.col("ny"))) / 2 - 1e-9
+    # A pair that shares an added element meets there too, if it is in both prefixes (added ones come first, and prefixes hold more than what may differ);
+    # so where only a missing element is met, missing ones must suffice, unless a prefix ends within the added ones.
+    whole = (F.col("px") >= F.col("ax")) & (F.col("py") >= F.col("ay"))
+    most = F.least("ax", "ay") + F.least("mx", "my")
+    alone = F.when((F.col("e").bitwiseAND(F.lit(1)) == 0) & whole, F.least("mx", "my")).otherwise(most)
+    fits = (F.col("rx") != F.col("ry")) & (~F.col("fy") | (F.col("x") < F.col("y"))) & (need <= alone)
+    return x.join(y, ["a", "e"]).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _unled(busy: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of a bucket in different groups of which one was not compared with the bucket's leader."""
+    rooted = busy.join(labels.withColumnRenamed("id", "_id"), F.col("m.id") == F.col("_id"), "left").select("band", "m", "starred", F.coalesce("root", F.col("m.id")).alias("root"))
+    x = rooted.where("NOT starred").select("band", F.col("m").alias("x"), F.col("root").alias("rx"))
+    y = rooted.select("band", F.col("m").alias("y"), F.col("root").alias("ry"), F.col("starred").alias("led"))
+    fits = (x["band"] == y["band"]) & (F.col("rx") != F.col("ry")) & (F.col("led") | (F.col("x.id") < F.col("y.id"))) & _possible("x", "y")
+    return x.join(y, fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
+def _texts_of(base: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts of the ids of pairs, one row each."""
+    needed = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), "needed")
     return base.join(needed, "id").groupBy("id").agg(F.min("text").alias("text"))
 
 
