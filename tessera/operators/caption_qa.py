@@ -1,0 +1,37 @@
+"""Whether captions name their classes, and rates of it."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tessera.functions.text import edit_similarity, word_forms
+
+
+def normalised(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), "[^a-z0-9 ]", " ")
+
+
+def check(captions: DataFrame, classes: DataFrame, id_col: str = "doc_id", text: str = "text", strategy: str = "vanilla", threshold: float = 0.85) -> DataFrame:
+    """(id, class, found) for each caption and class: a form of the class is part of the caption's text; "full" also takes words whose edit similarity reaches threshold."""
+    forms = F.broadcast(classes.select("class", word_forms(F.col("class")).alias("forms")))
+    pairs = captions.select(id_col, normalised(F.col(text)).alias("_t")).crossJoin(forms)
+    found = F.exists("forms", lambda f: F.contains(F.col("_t"), f))
+    if strategy == "full":
+        words = F.array_distinct(F.split("_t", " +"))
+        found = found | F.exists("forms", lambda f: F.exists(words, lambda w: edit_similarity(f, w) >= threshold))
+    elif strategy != "vanilla":
+        raise ValueError(f"no strategy {strategy}")
+    return pairs.select(id_col, "class", found.alias("found"))
+
+
+def best_match(forms: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """Per key the pair of form and word that are most alike; by form and word where several are."""
+    pairs = forms.join(words, key).withColumn("similarity", edit_similarity(F.col("form"), F.col("word")))
+    return pairs.groupBy(key).agg(F.min(F.struct((-F.col("similarity")).alias("n"), "form", "word")).alias("m")).select(key, "m.form", "m.word", (-F.col("m.n")).alias("similarity"))
+
+
+def summary(checked: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    n = F.count(F.lit(1))
+    rate = F.coalesce(F.try_divide(100.0 * F.count_if("found"), n), F.lit(0.0))
+    return checked.agg(F.countDistinct(id_col).alias("images"), n.alias("instances"), F.count_if(~F.col("found")).alias("missing"), F.round(rate, 6).alias("success"))
