@@ -50,7 +50,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def chunks(batch: pa.RecordBatch, column: int, most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, column: int, most: int = 10_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose text column holds about `most` bytes at most (or one row), so that memory stays bounded."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     edges = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1).tolist(), batch.num_rows]
