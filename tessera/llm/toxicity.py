@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import string_kernel as sk
-from tessera.llm.common import read
+from tessera.llm.common import chunks, read
 
 #: Bounds of the sample the machine is fitted on: texts of each label, units of clean texts, witnesses.
 TRAIN_TOXIC, TRAIN_CLEAN, NEGATIVES, WITNESSES = 1500, 3000, 16_000, 120
@@ -33,7 +33,7 @@ RATIO = 20
 LANDMARKS, POWER = 32, 3
 THRESHOLD = 0.7
 WINDOW = 24
-MEMO = 600_000
+MEMO = 400_000
 
 
 @dataclass
@@ -207,7 +207,8 @@ class Scorer:
     def units(self, units: list[str]) -> np.ndarray:
         if self.table is None:
             self.table = sk.Landmarks(self.model.landmarks)
-        return (self.table.kernel(units).astype(float) ** POWER) @ self.model.beta + self.model.bias
+        parts = [(self.table.kernel(units[k : k + 10_000]).astype(float) ** POWER) @ self.model.beta for k in range(0, len(units), 10_000)]
+        return np.concatenate([*parts, np.zeros(0)]) + self.model.bias
 
     def best(self, units: set[str]) -> float:
         return float(self.units(sorted(units)).max()) if units else self.model.bias
@@ -252,14 +253,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fits on at most TRAIN_TOXIC and TRAIN_CLEAN labelled texts (smallest hashes of their ids), never on held-out rows. Null labels and texts teach nothing."""
-    own = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_label"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).where(~held_out(F.col("_id")) & F.col("_text").isNotNull()).join(own, "_id")
+    """Fits on at most TRAIN_TOXIC and TRAIN_CLEAN labelled ids (smallest hashes; an id's rows all count), never on held-out rows. Null labels and texts teach nothing."""
+    own = labels.where(F.col(label).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_label"))
+    own = own.withColumn("_order", F.xxhash64("_id"))
+    picked = [own.where(F.col("_label") == mark).orderBy("_order", "_id").limit(most) for mark, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
+    chosen = F.broadcast(picked[0].unionByName(picked[1]))  # at most TRAIN_TOXIC + TRAIN_CLEAN ids
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).where(F.col("_text").isNotNull()).join(chosen, "_id").select("_text", "_label")
     texts, marks = [], []
-    for mark, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)):
-        part = rows.where(F.col("_label") == mark).orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(most).select("_text").toPandas()
-        texts += part["_text"].tolist()
-        marks += [mark] * len(part)
+    for text_, mark in rows.toLocalIterator():
+        texts.append(text_)
+        marks.append(mark)
     return fit(texts, marks)
 
 
@@ -270,7 +273,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            yield pd.Series(scorer.texts(pa.array(texts, pa.large_string(), from_pandas=True)))
+            batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string(), from_pandas=True)], ["text"])
+            yield pd.Series(np.concatenate([scorer.texts(part.column(0)) for part in chunks(batch, 0, 3_000_000)] or [np.zeros(0)]))
 
     return docs.withColumn(column, scored(F.col(text)))
 
