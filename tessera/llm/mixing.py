@@ -59,7 +59,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT
         return np.where(lengths > 0, counts, 0)
     if budget <= 0:
         return np.zeros(len(lengths), np.int64)
-    taken = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
+    shared = max(0, budget - min(exact // 2, 4 * int(lengths.max())))  # what is kept back lets the programme meet the budget
+    taken = np.array([int(c) * shared // total for c in counts.tolist()], np.int64)
     left = budget - int((lengths * taken).sum())
     for k in np.argsort(-lengths, kind="stable").tolist():
         if left <= exact:
