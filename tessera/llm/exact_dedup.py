@@ -118,7 +118,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", block: in
     """
     known = identities(docs, id_col, text, block)
     best = F.struct(-F.col("n_chars"), F.col("id").isNull(), F.col("id"))
-    groups = known.groupBy("levels", "name").agg(F.min(best).alias("best"), F.sum("copies").alias("group_size"))
+    groups = written(known.groupBy("levels", "name").agg(F.min(best).alias("best"), F.sum("copies").alias("group_size")), "groups")  # so that a large group's rows can be split in the join
     joined = known.join(groups, ["levels", "name"])
     wins = (F.col("n_chars") == -F.col("best.col1")) & F.col("id").eqNullSafe(F.col("best.id"))
     each = joined.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
