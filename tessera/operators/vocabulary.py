@@ -8,6 +8,7 @@ import tempfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.vector import cosine
 
@@ -39,7 +40,7 @@ def first_of_each(rows: DataFrame, form: Column, order: str) -> DataFrame:
     return d.withColumn("_n", F.row_number().over(Window.partitionBy("form").orderBy(order))).where("_n = 1").drop("_n")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 

@@ -118,7 +118,7 @@ def read_tars(spark: SparkSession, path: str) -> DataFrame:
     def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for url, data in zip(part["path"], part["content"], strict=True):
-                rows = [(url, k, key, list(members.items())) for k, (key, members) in enumerate(tar_samples(data))]
+                rows = [(url, k, key, members) for k, (key, members) in enumerate(tar_samples(data))]
                 if rows:
                     yield pd.DataFrame(rows, columns=["shard", "ord", "key", "members"])
 
