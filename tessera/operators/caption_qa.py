@@ -14,9 +14,12 @@ def normalised(text: Column) -> Column:
 
 def check(captions: DataFrame, classes: DataFrame, id_col: str = "doc_id", text: str = "text", strategy: str = "vanilla", threshold: float = 0.85) -> DataFrame:
     """(id, class, found) for each caption and class: a form of the class is part of the caption's text; "full" also takes words whose edit similarity reaches threshold."""
-    forms = F.broadcast(classes.select("class", word_forms(F.col("class")).alias("forms")))
+    every = classes.select("class", word_forms(F.col("class")).alias("forms"))
+    # a form that contains another is found wherever that one is
+    needed = F.filter("forms", lambda f: ~F.exists("forms", lambda g: (g != f) & F.contains(f, g)))
+    forms = F.broadcast(every.withColumn("parts", needed))
     pairs = captions.select(id_col, normalised(F.col(text)).alias("_t")).crossJoin(forms)
-    found = F.exists("forms", lambda f: F.contains(F.col("_t"), f))
+    found = F.exists("parts", lambda f: F.contains(F.col("_t"), f))
     if strategy == "full":
         words = F.array_distinct(F.split("_t", " +"))
         found = found | F.exists("forms", lambda f: F.exists(words, lambda w: edit_similarity(f, w) >= threshold))
