@@ -1,11 +1,11 @@
 """Near-duplicate groups by BagMinHash bands and exact multiset overlap.
 
 Documents are multisets of five-word shingles. (1) Texts with equal words form classes; one of a class goes on.
-(2) Bands of a weighted-Jaccard signature give candidates. A bucket's members are first compared with one leader only, so a bucket of n
+(2) Bands of a weighted-Jaccard signature give candidates. All members of a bucket are first compared with one leader only, so a bucket of n
 costs n pairs: the one with most company in all its buckets, which is the middle of a cloud of copies;
 (3) links are verified on the texts and joined to groups; (4) members in different groups that were both
 compared with a leader can only be alike if their differences from that leader share an element (see
-Differences), so only such pairs are compared; members that no leader was compared with are compared with all of their bucket.
+Differences), so only such pairs are compared. All members of a bucket have its leader in common.
 No candidate link is lost. Pairs whose lengths or signature sketches rule out the threshold are not formed.
 
 Differences. Let |x ^ y| be the size of the symmetric difference of two multisets. x and y are linked when
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,12 @@ from tessera.llm.common import chunks, read, written
 
 WORDS, THRESHOLD = 5, 0.8
 RATIO = (1 - THRESHOLD) / (1 + THRESHOLD)
-#: Signature: BANDS x WIDTH registers (a pair at 0.8 shares no band once in 140,000), and two 64-bit sketches of their low bits.
+#: Signature: BANDS x WIDTH registers (a pair at 0.8 shares no band once in 140,000), and the PLANES lowest bits of 128 of them as sketches, two 64-bit words a plane.
 BANDS, WIDTH = 30, 5
-#: Sketch bits that may differ: 128 bits of a pair at 0.8 differ in 12.8 on average; this is over six standard deviations more.
-SKETCH = 34
+PLANES = 4
+SKETCHES = [f"s{i}" for i in range(2 * PLANES)]
+#: Registers of the sketches that may differ: of a pair at 0.8 they are 24 of 128 on average; more than this happens once in ten million such pairs.
+SKETCH = 51
 #: Text of about this many characters is worked on at once.
 CHUNK = 4_000_000
 
@@ -72,7 +75,7 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[
 
 
 def described(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """id, digest of the words, weight (number of shingles), s0 and s1 (sketches), bands (a hash for each band)."""
+    """id, digest of the words, weight (number of shingles), SKETCHES, bands (a hash for each band)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -80,7 +83,7 @@ def described(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 n = batch.num_rows
                 doc, shingle, count, digests = shingles(batch.column(1))
                 sig = signatures(doc, shingle, count, n, BANDS * WIDTH)
-                bits = (sig[:, :128] & np.uint64(1)).astype(np.uint8)
+                bits = np.concatenate([(sig[:, :128] >> np.uint64(k)) & np.uint64(1) for k in range(PLANES)], axis=1).astype(np.uint8)
                 sketch = np.packbits(bits, axis=1).view(">u8").astype(np.uint64).view(np.int64)
                 band = np.zeros((n, BANDS), np.uint64)
                 for k in range(WIDTH):
@@ -88,16 +91,15 @@ def described(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 band += np.arange(BANDS, dtype=np.uint64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(band.view(np.int64).ravel()))
                 weight = np.bincount(doc, weights=count, minlength=n).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(weight), pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), lists], ["id", "digest", "weight", "s0", "s1", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(weight), *(pa.array(x) for x in sketch.T), lists], ["id", "digest", "weight", *SKETCHES, "bands"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(sign, "id long, digest binary, weight long, s0 long, s1 long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(sign, f"id long, digest binary, weight long, {', '.join(f'{s} long' for s in SKETCHES)}, bands array<long>")
 
 
-def _possible(a: str, b: str) -> Column:
-    """Whether lengths and sketches allow the threshold for a pair."""
-    low, high = F.least(f"{a}.weight", f"{b}.weight"), F.greatest(f"{a}.weight", f"{b}.weight")
-    differ = F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))) + F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1")))
-    return (low >= F.ceil(high * THRESHOLD)) & (differ <= SKETCH)
+def _sketches_near(a: str, b: str) -> Column:
+    """Whether at most SKETCH registers differ in some plane; a and b are prefixes of the columns' names."""
+    words = [reduce(Column.bitwiseOR, [F.col(a + s).bitwiseXOR(F.col(b + s)) for s in SKETCHES[k::2]]) for k in range(2)]
+    return F.bit_count(words[0]) + F.bit_count(words[1]) <= SKETCH
 
 
 def differences(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, ...]:
@@ -134,11 +136,11 @@ def _prefixes(element: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> pa.
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(element[at].view(np.int64)))
 
 
-COMPARED = "a long, b long, similarity double, size_b long, added long, missing long, probe array<long>, lookup array<long>"
+COMPARED = "a long, b long, similarity double, size_b long, added long, missing long, probe array<long>, lookup array<long>, " + ", ".join(f"{s} long" for s in SKETCHES)
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """COMPARED for pairs (leader a, member b): probe (for members that are not linked) and lookup are the prefixes of the difference from the leader."""
+    """COMPARED for pairs (leader a, member b, with its SKETCHES): probe (for members that are not linked) and lookup are the prefixes of the difference from the leader."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in chunks(whole, 3, CHUNK)):
@@ -147,17 +149,18 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             excess = total - RATIO * (size_a + size_b)
             probe = _prefixes(element, offsets, np.where(similarity < THRESHOLD, total - np.maximum(1, np.ceil(excess / (1 + RATIO) - 1e-9)).astype(np.int64) + 1, 0))
             lookup = _prefixes(element, offsets, total - np.floor((1 - RATIO) * total / 2 - 1e-9).astype(np.int64))
-            columns = [batch.column(0), batch.column(1), pa.array(similarity), pa.array(size_b), pa.array(added), pa.array(missing), probe, lookup]
+            columns = [batch.column(0), batch.column(1), pa.array(similarity), pa.array(size_b), pa.array(added), pa.array(missing), probe, lookup, *batch.columns[4:]]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in COMPARED.split(", ")])
 
     return _with_texts(pairs, texts).mapInArrow(compare, COMPARED)
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b and the texts of both; texts has one row per id."""
+    """a, b, the texts of both and further columns of pairs; texts has one row per id."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("_ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("_tb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb")
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb", *rest)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -205,22 +208,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     rows = signed.select("id", "digest")
     first = signed.where("id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     first = written(first, "classes")
-    representative = F.struct("id", "weight", "s0", "s1")
     reps = signed.join(first.select("digest", F.col("class_id").alias("id")), ["digest", "id"]).where("weight > 0").dropDuplicates(["id"])
-    members = written(reps.select(representative.alias("m"), F.explode("bands").alias("band")), "members")
+    members = written(reps.select("id", F.explode("bands").alias("band")), "members")
     sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = members.join(sizes, "band")
-    company = shared.groupBy(F.col("m.id").alias("_id")).agg(F.sum("n").alias("company"))
-    shared = written(shared.join(company, F.col("m.id") == F.col("_id")).select("band", "m", "company"), "shared")
-    leads = shared.groupBy("band").agg(F.min(F.struct(-F.col("company"), "m")).alias("best")).select("band", F.col("best.m").alias("lead"))
-    busy = shared.join(leads, "band").select("band", "m", "lead", ((F.col("m.id") == F.col("lead.id")) | _possible("m", "lead")).alias("starred"))
-    busy = written(busy, "busy")
-    star = busy.where(F.col("starred") & (F.col("m.id") != F.col("lead.id"))).select(F.col("lead.id").alias("a"), F.col("m.id").alias("b")).distinct()
+    company = written(shared.groupBy("id").agg(F.sum("n").alias("company")), "company")
+    known = signed.join(company, "id").dropDuplicates(["id"]).select("id", F.struct("id", "weight", *SKETCHES).alias("m"), "company")
+    shared = written(shared.join(known, "id").select("band", "m", "company"), "shared")
+    leads = shared.groupBy("band").agg(F.min(F.struct(-F.col("company"), "m")).alias("best")).select("band", F.col("best.m.id").alias("a"))
+    star = shared.join(leads, "band").where("m.id <> a").select("a", F.col("m.id").alias("b"), *[f"m.{s}" for s in SKETCHES]).distinct()
     star = written(star, "star")
     seen = written(compared(star, _texts_of(base, star)), "compared")
-    links = written(seen.where(F.col("similarity") >= THRESHOLD).select("a", "b"), "links")
+    links = written(_both_ways(seen.where(F.col("similarity") >= THRESHOLD)).distinct(), "links")
     labels = written(components(links), "labels")
-    cross = written(_apart(seen, labels).unionByName(_unled(busy, labels)).distinct().join(_both_ways(star), ["a", "b"], "left_anti"), "cross")
+    cross = written(_apart(seen, labels).distinct().join(_both_ways(star), ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
         links = written(links.unionByName(verified(cross, _texts_of(base, cross))), "links2")
         labels = written(components(links), "labels2")
@@ -240,28 +241,20 @@ def _apart(seen: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of members of one leader, in different groups, whose differences from it allow a link."""
     rooted = seen.join(labels.withColumnRenamed("id", "_id"), F.col("b") == F.col("_id"), "left").withColumn("root", F.coalesce("root", "b")).drop("_id")
     failed = F.col("similarity") < THRESHOLD
-    x = rooted.where(failed).select("a", F.col("b").alias("x"), F.col("root").alias("rx"), F.col("size_b").alias("nx"), F.col("added").alias("ax"), F.col("missing").alias("mx"), F.size("probe").alias("px"), F.explode("probe").alias("e"))
-    crowded = x.select("a").distinct()
-    y = rooted.join(crowded, "a", "left_semi").select("a", F.col("b").alias("y"), F.col("root").alias("ry"), failed.alias("fy"), F.col("size_b").alias("ny"), F.col("added").alias("ay"), F.col("missing").alias("my"), F.size("lookup").alias("py"), F.explode("lookup").alias("e"))
+    # Of use are leaders with a member that failed and members of more than one group.
+    crowded = rooted.groupBy("a").agg(F.max(failed).alias("_failed"), F.min("root").alias("_low"), F.max("root").alias("_high")).where("_failed AND _low < _high").select("a")
+    x = rooted.join(crowded, "a", "left_semi").where(failed).select("a", F.col("b").alias("x"), F.col("root").alias("rx"), F.col("size_b").alias("nx"), F.col("added").alias("ax"), F.col("missing").alias("mx"), *[F.col(s).alias(f"x{s}") for s in SKETCHES], F.posexplode("probe").alias("i", "e"))
+    y = rooted.join(crowded, "a", "left_semi").select("a", F.col("b").alias("y"), F.col("root").alias("ry"), failed.alias("fy"), F.col("size_b").alias("ny"), F.col("added").alias("ay"), F.col("missing").alias("my"), *[F.col(s).alias(f"y{s}") for s in SKETCHES], F.posexplode("lookup").alias("j", "e"))
     need = (F.col("ax") + F.col("mx") + F.col("ay") + F.col("my") - RATIO * (F.col("nx") + F.col("ny"))) / 2 - 1e-9
-    # A pair that shares an added element meets there too, if it is in both prefixes (added ones come first, and prefixes hold more than what may differ);
-    # so where only a missing element is met, missing ones must suffice, unless a prefix ends within the added ones.
-    whole = (F.col("px") >= F.col("ax")) & (F.col("py") >= F.col("ay"))
-    most = F.least("ax", "ay") + F.least("mx", "my")
-    alone = F.when((F.col("e").bitwiseAND(F.lit(1)) == 0) & whole, F.least("mx", "my")).otherwise(most)
-    fits = (F.col("rx") != F.col("ry")) & (~F.col("fy") | (F.col("x") < F.col("y"))) & (need <= alone)
+    # A pair is judged where its first common element is met: what else it shares comes later in both, added elements before missing ones.
+    added = F.col("e").bitwiseAND(F.lit(1)) == 1
+    later = F.least(F.col("mx") - (F.col("i") - F.col("ax")), F.col("my") - (F.col("j") - F.col("ay")))
+    most = F.when(added, F.least(F.col("ax") - F.col("i"), F.col("ay") - F.col("j")) + F.least("mx", "my")).otherwise(later)
+    near = _sketches_near("x", "y") & (F.least("nx", "ny") >= F.ceil(F.greatest("nx", "ny") * THRESHOLD))
+    fits = (F.col("rx") != F.col("ry")) & (~F.col("fy") | (F.col("x") < F.col("y"))) & (need <= most) & near
     return x.join(y, ["a", "e"]).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _unled(busy: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a bucket in different groups of which one was not compared with the bucket's leader."""
-    rooted = busy.join(labels.withColumnRenamed("id", "_id"), F.col("m.id") == F.col("_id"), "left").select("band", "m", "starred", F.coalesce("root", F.col("m.id")).alias("root"))
-    x = rooted.where("NOT starred").select("band", F.col("m").alias("x"), F.col("root").alias("rx"))
-    y = rooted.select("band", F.col("m").alias("y"), F.col("root").alias("ry"), F.col("starred").alias("led"))
-    fits = (x["band"] == y["band"]) & (F.col("rx") != F.col("ry")) & (F.col("led") | (F.col("x.id") < F.col("y.id"))) & _possible("x", "y")
-    return x.join(y, fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-
-
 def _texts_of(base: DataFrame, pairs: DataFrame) -> DataFrame:
     """The texts of the ids of pairs, one row each."""
     needed = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), "needed")
