@@ -31,6 +31,14 @@ def concept_frequency(samples: DataFrame, group: str = "sb") -> DataFrame:
     return samples.select(group, F.explode(F.array_distinct("classes")).alias("concept")).groupBy(group, "concept").agg(F.count(F.lit(1)).alias("freq"))
 
 
+def concept_neighbours(samples: DataFrame, group: str = "sb") -> DataFrame:
+    """(group, idx, neighbours): how many other samples of the group share a concept with the sample, where any do. Each concept's members are listed once, at most a group long, and the lists of a sample united: no row for each pair."""
+    each = samples.select(group, "idx", F.explode(F.array_distinct("classes")).alias("concept"))
+    members = each.groupBy(group, "concept").agg(F.collect_set("idx").alias("members"))
+    united = each.join(members, [group, "concept"]).groupBy(group, "idx").agg(F.array_distinct(F.flatten(F.collect_list("members"))).alias("near"))
+    return united.select(group, "idx", (F.size("near") - 1).cast("long").alias("neighbours")).where("neighbours > 0")
+
+
 def concept_targets(frequency: DataFrame, budget: DataFrame, group: str = "sb", cap: int = 10, least: int = 1) -> DataFrame:
     """(group, concept, freq, concept_id, target): an even share of the group's budget T for each concept in name order, capped and scaled down where the sum is over T."""
     by = Window.partitionBy(group)

@@ -101,9 +101,7 @@ def iid_select(spark, d):
 
 @query(f"WITH {b.SAMPLES_SQL}, e AS (SELECT DISTINCT sb, idx, unnest(classes) AS concept FROM s WHERE sb < 2) SELECT x.sb, x.idx, count(DISTINCT y.idx) AS neighbours FROM e x JOIN e y ON x.sb = y.sb AND x.concept = y.concept AND x.idx <> y.idx GROUP BY ALL")
 def concept_neighbours(spark, d):
-    e = b.samples(spark, d).where("sb < 2").select("sb", "idx", F.explode(F.array_distinct("classes")).alias("concept"))
-    other = e.select("sb", "concept", F.col("idx").alias("other"))
-    return e.join(other, ["sb", "concept"]).where("idx <> other").groupBy("sb", "idx").agg(F.countDistinct("other").alias("neighbours"))
+    return curation.concept_neighbours(b.samples(spark, d))
 
 
 # Batching, sampling, shards

@@ -7,6 +7,7 @@ import pytest
 
 from tessera.functions import boxes, text
 from tessera.operators import curation, vocabulary
+from tessera.plans import bindings, registry
 from tessera.sources import shards
 
 
@@ -44,6 +45,15 @@ def test_sub_batch_sizes(spark):
     assert [r.s0 for r in got[:2]] == [1024, 16] and got[2].s1 == 16
 
 
+def test_concept_neighbours_of_every_super_batch(spark, sf):
+    samples = [(r.sb, r.idx, set(r.classes)) for r in bindings.samples(spark, sf).collect()]
+    want = {(s, i, n) for s, i, own in samples if (n := sum(s == t and i != j and bool(own & other) for t, j, other in samples))}
+    assert {s for s, _, _ in want} == {0, 1, 2}
+    assert {(r.sb, r.idx, r.neighbours) for r in registry.QUERIES["concept_neighbours"](spark, sf).collect()} == want
+    own = spark.createDataFrame([(7, 0, ["a", "a"]), (7, 1, ["b"]), (7, 2, ["b", "a"]), (7, 3, []), (8, 0, ["a"])], "sb long, idx long, classes array<string>")
+    assert {tuple(r) for r in curation.concept_neighbours(own).collect()} == {(7, 0, 1), (7, 1, 1), (7, 2, 2)}
+
+
 def test_text_quirks(spark):
     from pyspark.sql import functions as F
 
