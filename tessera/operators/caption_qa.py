@@ -2,14 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import edit_similarity, word_forms
 
+#: Captions of an output batch, and words (of up to LONG characters) whose classes a task remembers.
+CAPTIONS, WORDS, LONG = 16, 200_000, 64
+
 
 def normalised(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), "[^a-z0-9 ]", " ")
+    """Letters of any script, digits and spaces in lower case; a null caption is an empty one."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N} ]", " ")
+
+
+class Finder:
+    """The numbers of the classes that have a form in a text. Forms without spaces lie within a word, so each different word is searched once."""
+
+    def __init__(self, forms: list[list[str]]):
+        each = [(f, i) for i, own in enumerate(forms) for f in own]
+        self.anywhere = [(f, i) for f, i in each if not f or " " in f]
+        within = [(f, i) for f, i in each if f and " " not in f]
+        self.least = min((len(f) for f, _ in within), default=1)
+        self.heads: dict[str, list[tuple[str, int]]] = {}
+        for f, i in within:
+            self.heads.setdefault(f[: self.least], []).append((f, i))
+        self.seen: dict[str, tuple[int, ...]] = {}
+
+    def word(self, w: str) -> tuple[int, ...]:
+        known = self.seen.get(w)
+        if known is None:
+            k = self.least
+            known = tuple({i for at in range(len(w) - k + 1) for f, i in self.heads.get(w[at : at + k], ()) if w.startswith(f, at)})
+            if len(w) <= LONG:
+                if len(self.seen) >= WORDS:
+                    self.seen.clear()
+                self.seen[w] = known
+        return known
+
+    def text(self, t: str) -> set[int]:
+        out = {i for f, i in self.anywhere if f in t}
+        for w in set(t.split(" ")):
+            out.update(self.word(w))
+        return out
+
+
+def _found(captions: DataFrame, classes: DataFrame, id_col: str, text: str) -> DataFrame:
+    """check() by the forms alone. The classes are a list that every task holds."""
+    listed = classes.collect()
+    names, forms = [r["class"] for r in listed], [r["parts"] for r in listed]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder, every = Finder(forms), pa.array(names, pa.string())
+        for batch in batches:
+            for start in range(0, batch.num_rows if names else 0, CAPTIONS):
+                part = batch.slice(start, CAPTIONS)
+                found = np.zeros((part.num_rows, len(names)), bool)
+                for k, t in enumerate(part.column(1).to_pylist()):
+                    found[k, list(finder.text(t))] = True
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), len(names))))
+                yield pa.RecordBatch.from_arrays([ids, pa.concat_arrays([every] * part.num_rows), pa.array(found.ravel())], [id_col, "class", "found"])
+
+    schema = T.StructType([captions.schema[id_col], T.StructField("class", T.StringType()), T.StructField("found", T.BooleanType())])
+    return captions.select(id_col, normalised(F.col(text)).alias("_t")).mapInArrow(rows, schema)
 
 
 def check(captions: DataFrame, classes: DataFrame, id_col: str = "doc_id", text: str = "text", strategy: str = "vanilla", threshold: float = 0.85) -> DataFrame:
@@ -17,14 +77,14 @@ def check(captions: DataFrame, classes: DataFrame, id_col: str = "doc_id", text:
     every = classes.select("class", word_forms(F.col("class")).alias("forms"))
     # a form that contains another is found wherever that one is
     needed = F.filter("forms", lambda f: ~F.exists("forms", lambda g: (g != f) & F.contains(f, g)))
+    if strategy == "vanilla":
+        return _found(captions, every.select("class", needed.alias("parts")), id_col, text)
+    if strategy != "full":
+        raise ValueError(f"no strategy {strategy}")
     forms = F.broadcast(every.withColumn("parts", needed))
     pairs = captions.select(id_col, normalised(F.col(text)).alias("_t")).crossJoin(forms)
-    found = F.exists("parts", lambda f: F.contains(F.col("_t"), f))
-    if strategy == "full":
-        words = F.array_distinct(F.split("_t", " +"))
-        found = found | F.exists("forms", lambda f: F.exists(words, lambda w: edit_similarity(f, w) >= threshold))
-    elif strategy != "vanilla":
-        raise ValueError(f"no strategy {strategy}")
+    words = F.array_distinct(F.split("_t", " +"))
+    found = F.exists("parts", lambda f: F.contains(F.col("_t"), f)) | F.exists("forms", lambda f: F.exists(words, lambda w: edit_similarity(f, w) >= threshold))
     return pairs.select(id_col, "class", found.alias("found"))
 
 

@@ -511,9 +511,9 @@ _QA = f"WITH {b.ASCII_SQL}, c AS (SELECT DISTINCT lower(unnest(string_split(subs
 
 
 def _qa(spark, d):
-    words = b.table(spark, d, "benchmark").select(F.explode(F.split(F.substring("text", 1, 60), " ")).alias("w")).select(F.lower("w").alias("class")).distinct()
-    classes = words.where(F.col("class").rlike("^[a-z]{4,}$")).orderBy("class").limit(20)
-    return caption_qa.check(b.ascii_documents(spark, d), classes)
+    words = b.table(spark, d, "benchmark").select(F.explode(F.split(caption_qa.normalised(F.col("text")), " +")).alias("class")).distinct()
+    classes = words.where(F.col("class").rlike(r"^[\p{L}\p{M}]{4,}$"))
+    return caption_qa.check(b.table(spark, d, "documents"), classes)
 
 
 @query(_QA.replace("CASE WHEN class LIKE", "CASE WHEN class LIKE") + " SELECT doc_id, class, found FROM q")

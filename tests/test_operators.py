@@ -1,12 +1,13 @@
 import io
 import random
 import tarfile
+import unicodedata
 
 import numpy as np
 import pytest
 
 from tessera.functions import boxes, text
-from tessera.operators import curation, vocabulary
+from tessera.operators import caption_qa, curation, vocabulary
 from tessera.plans import bindings, registry
 from tessera.sources import shards
 
@@ -54,6 +55,39 @@ def test_concept_neighbours_of_every_super_batch(spark, sf):
     assert {tuple(r) for r in curation.concept_neighbours(own).collect()} == {(7, 0, 1), (7, 1, 1), (7, 2, 2)}
 
 
+def brute_check(captions, classes):
+    """vanilla by plain substrings of the whole text."""
+    out = set()
+    for i, c in captions:
+        t = "".join(x if x == " " or unicodedata.category(x)[0] in "LMN" else " " for x in (c or "").lower())
+        for w in classes:
+            w0 = w.lower().replace("-", " ")
+            forms = {w0, w0 + "ing", w0[:-1] + "ing" if w0.endswith("e") else w0, w0[:-1] + "ies" if w0.endswith("y") else w0 + "es" if w0.endswith(("s", "sh", "ch", "x", "z")) else w0 + "s"}
+            out.add((i, w, any(f in t for f in forms)))
+    return out
+
+
+def test_captions_are_checked_for_every_class(spark, sf):
+    captions = [(1, "Les Étés: baking CITIES; a fire-truck, a fire  truck"), (2, None), (3, ""), (4, "préfères-tu señoras"), (5, "x" * 300 + "bakery" + "y" * 300)]
+    classes = ["étés", "bake", "city", "fire-truck", "ox", "préfère", "señora", "bakery", "straße", "señ"]
+    d, c = spark.createDataFrame(captions, "doc_id long, text string"), spark.createDataFrame([(x,) for x in classes], "class string")
+    want = brute_check(captions, classes)
+    assert {tuple(r) for r in caption_qa.check(d, c).collect()} == want
+    assert caption_qa.check(d, c.where("false")).count() == 0
+
+    texts = [(r.doc_id, r.text) for r in bindings.table(spark, sf, "documents").collect()]
+    words = set()
+    for r in bindings.table(spark, sf, "benchmark").collect():
+        words |= set("".join(x if unicodedata.category(x)[0] in "LMN" else " " for x in (r.text or "").lower()).split())
+    words = {w for w in words if len(w) >= 4 and all(unicodedata.category(x)[0] in "LM" for x in w)}
+    assert len(words) > 600 and any(not w.isascii() for w in words)
+    want = brute_check(texts, words)
+    assert {tuple(r) for r in registry.QUERIES["class_in_caption_vanilla"](spark, sf).collect()} == want
+    [s] = registry.QUERIES["caption_qa_summary"](spark, sf).collect()
+    hits = sum(f for _, _, f in want)
+    assert (s.images, s.instances, s.missing, s.success) == (len(texts), len(want), len(want) - hits, round(100 * hits / len(want), 6))
+
+
 def test_text_quirks(spark):
     from pyspark.sql import functions as F
 
