@@ -10,25 +10,32 @@ EMOJI = "[\U0001f600-\U0001f64f\U0001f300-\U0001f5ff\U0001f680-\U0001f6ff\U0001f
 MARKS = r".,;:!?"
 CAPTION_MARKS = r"""[.!"()*#:;~]"""
 ASCII_PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
+#: White space of any script, as in Python: within a character class, and as characters.
+SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 PROMPT = "Describe the image. Caption: "
 
 
+def strip(c: Column) -> Column:
+    return F.btrim(c, F.lit(SPACES))
+
+
 def trim_caption(c: Column) -> Column:
     """Cuts an unfinished last sentence: with more than one full stop and none at the end, keeps up to the last; always stripped."""
-    stripped = F.btrim(c)
+    stripped = strip(c)
     stops = F.length(stripped) - F.length(F.replace(stripped, F.lit("."), F.lit("")))
-    return F.btrim(F.when((stops > 1) & ~stripped.endswith("."), F.regexp_extract(stripped, r"(?s)^(.*\.)", 1)).otherwise(stripped))
+    return strip(F.when((stops > 1) & ~stripped.endswith("."), F.regexp_extract(stripped, r"(?s)^(.*\.)", 1)).otherwise(stripped))
 
 
 def preprocess_caption(c: Column, join_repeats: bool = True) -> Column:
     """Emoji out, double spaces halved once, no white space before a mark, repeated marks joined, one space after a mark."""
     out = F.regexp_replace(F.coalesce(c, F.lit("")), EMOJI, "")
     out = F.replace(out, F.lit("  "), F.lit(" "))
-    out = F.regexp_replace(out, rf"\s+([{MARKS}])", "$1")
+    out = F.regexp_replace(out, rf"[{SPACE}]+([{MARKS}])", "$1")
     if join_repeats:
         out = F.regexp_replace(out, rf"([{MARKS}])\1+", "$1")
-    out = F.regexp_replace(out, rf"([{MARKS}])([^\s{MARKS}])", "$1 $2")
-    return F.btrim(out)
+    out = F.regexp_replace(out, rf"([{MARKS}])([^{SPACE}{MARKS}])", "$1 $2")
+    return strip(out)
 
 
 def clean_and_capitalize(c: Column) -> Column:
@@ -45,7 +52,8 @@ def build_prompt(caption: Column, classes: Column, most: int = 77) -> Column:
 
 
 def pre_caption(c: Column, words: int = 50) -> Column:
-    out = F.btrim(F.regexp_replace(F.regexp_replace(F.lower(c), CAPTION_MARKS, " "), r"\s{2,}", " "))
+    out = F.regexp_replace(F.regexp_replace(F.lower(c), CAPTION_MARKS, " "), rf"[{SPACE}]{{2,}}", " ")
+    out = F.btrim(F.rtrim(out, F.lit("\n")))
     return F.array_join(F.slice(F.split(out, " "), 1, words), " ")
 
 
@@ -57,11 +65,11 @@ def pre_question(c: Column, words: int = 50) -> Column:
 def canonicalize(c: Column) -> Column:
     """Underscores to spaces, ASCII punctuation out, lower case, single spaces."""
     out = F.regexp_replace(F.replace(c, F.lit("_"), F.lit(" ")), ASCII_PUNCTUATION, "")
-    return F.btrim(F.regexp_replace(F.lower(out), r"[ \t\n\r\f\x0b]+", " "))
+    return F.btrim(F.regexp_replace(F.lower(out), rf"[{SPACE}]+", " "))
 
 
 def whitespace_clean(c: Column) -> Column:
-    return F.btrim(F.regexp_replace(c, r"[ \t\n\r\f\x0b]+", " "))
+    return F.btrim(F.regexp_replace(c, rf"[{SPACE}]+", " "))
 
 
 def article(name: Column) -> Column:

@@ -41,10 +41,6 @@ BOXES_SQL = """b AS (SELECT l_orderkey AS image_id, row_number() OVER (PARTITION
 l_quantity / 100 AS x1, l_discount AS y1, l_quantity / 100 + 0.2 + l_tax AS x2, l_discount + 0.2 AS y2, 0.2 + (l_extendedprice % 1000) / 1250 AS score, l_returnflag AS label, l_linenumber % 4 AS scale FROM lineitem)"""
 
 
-def ascii_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-
-
 ASCII_SQL = r"d AS (SELECT * FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*'))"
 
 

@@ -228,7 +228,7 @@ def sidecar_names(spark, d):
 
 @query(f"WITH {b.ASCII_SQL}, t AS (SELECT doc_id, trim(text) AS t FROM d) SELECT doc_id, sha256(trim(CASE WHEN length(t) - length(replace(t, '.', '')) > 1 AND NOT ends_with(t, '.') THEN regexp_extract(t, '(?s)^(.*\\.)', 1) ELSE t END)) AS caption FROM t")
 def trim_caption(spark, d):
-    return b.ascii_documents(spark, d).select("doc_id", F.sha2(tx.trim_caption(F.col("text")), 256).alias("caption"))
+    return b.table(spark, d, "documents").select("doc_id", F.sha2(tx.trim_caption(F.col("text")), 256).alias("caption"))
 
 
 @query()
@@ -238,7 +238,7 @@ def preprocess_caption(spark, d):
 
 @query(f"WITH {b.ASCII_SQL}, a AS (SELECT doc_id, replace(coalesce(text, ''), '  ', ' ') AS t FROM d), c AS (SELECT doc_id, regexp_replace(t, '\\s+([.,;:!?])', '\\1', 'g') AS t FROM a) SELECT doc_id, sha256(trim(regexp_replace(t, '([.,;:!?])([^\\s.,;:!?])', '\\1 \\2', 'g'))) AS caption FROM c")
 def space_caption(spark, d):
-    return b.ascii_documents(spark, d).select("doc_id", F.sha2(tx.preprocess_caption(F.col("text"), join_repeats=False), 256).alias("caption"))
+    return b.table(spark, d, "documents").select("doc_id", F.sha2(tx.preprocess_caption(F.col("text"), join_repeats=False), 256).alias("caption"))
 
 
 @query("WITH t AS (SELECT conv_id, turn, regexp_replace(regexp_replace('system' || chr(10) || 'assistant' || chr(10) || 'The image shows a ' || text, '(?s)^.*\\nassistant\\n', ''), '(?i)^The image \\w+ (?:an|a|the)? ?', '') AS t FROM conversations) SELECT conv_id, turn, sha256(upper(substr(t, 1, 1)) || substr(t, 2)) AS caption FROM t")
@@ -255,12 +255,12 @@ def build_prompt(spark, d):
 
 @query(f"""WITH {b.ASCII_SQL} SELECT doc_id, array_to_string(list_slice(string_split(trim(regexp_replace(regexp_replace(lower(text), '[.!"()*#:;~]', ' ', 'g'), '\\s{{2,}}', ' ', 'g')), ' '), 1, 30), ' ') AS caption FROM d""")
 def pre_caption(spark, d):
-    return b.ascii_documents(spark, d).select("doc_id", tx.pre_caption(F.col("text"), 30).alias("caption"))
+    return b.table(spark, d, "documents").select("doc_id", tx.pre_caption(F.col("text"), 30).alias("caption"))
 
 
 @query(f"""WITH {b.ASCII_SQL} SELECT doc_id, array_to_string(list_slice(string_split(rtrim(regexp_replace(lower(text), '[.!"()*#:;~]', '', 'g')), ' '), 1, 50), ' ') AS question FROM d""")
 def pre_question(spark, d):
-    return b.ascii_documents(spark, d).select("doc_id", tx.pre_question(F.col("text")).alias("question"))
+    return b.table(spark, d, "documents").select("doc_id", tx.pre_question(F.col("text")).alias("question"))
 
 
 _PUNCT = tx.ASCII_PUNCTUATION.replace("'", "''")
@@ -268,12 +268,12 @@ _PUNCT = tx.ASCII_PUNCTUATION.replace("'", "''")
 
 @query(f"WITH {b.ASCII_SQL} SELECT doc_id, sha256(trim(regexp_replace(lower(regexp_replace(replace(text, '_', ' '), '{_PUNCT}', '', 'g')), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))) AS form FROM d")
 def canonicalize_text(spark, d):
-    return b.ascii_documents(spark, d).select("doc_id", F.sha2(tx.canonicalize(F.col("text")), 256).alias("form"))
+    return b.table(spark, d, "documents").select("doc_id", F.sha2(tx.canonicalize(F.col("text")), 256).alias("form"))
 
 
 @query(f"WITH {b.ASCII_SQL} SELECT doc_id, sha256(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))) AS form FROM d")
 def whitespace_clean(spark, d):
-    return b.ascii_documents(spark, d).select("doc_id", F.sha2(tx.whitespace_clean(F.col("text")), 256).alias("form"))
+    return b.table(spark, d, "documents").select("doc_id", F.sha2(tx.whitespace_clean(F.col("text")), 256).alias("form"))
 
 
 @query("""WITH n AS (SELECT DISTINCT p_type, regexp_replace(lower(replace(replace(p_type, '_', ' '), '/', ' or ')), '\\.+$', '') AS name FROM part), t AS (SELECT * FROM (VALUES (0, 'a photo of {article} {name}.'), (1, 'itap of my {name}.'), (2, 'a close-up photo of the {name}.')) AS v(k, template))

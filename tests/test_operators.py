@@ -1,5 +1,8 @@
+import hashlib
 import io
 import random
+import re
+import string
 import tarfile
 import unicodedata
 
@@ -88,6 +91,44 @@ def test_captions_are_checked_for_every_class(spark, sf):
     assert (s.images, s.instances, s.missing, s.success) == (len(texts), len(want), len(want) - hits, round(100 * hits / len(want), 6))
 
 
+def plain_trim(t):
+    if t.count(".") > 1 and not t.strip().endswith("."):
+        return "".join(re.findall(r"[^.]*\.", t)).strip()
+    return t.strip()
+
+
+def plain_space(t):
+    t = re.sub(text.EMOJI, "", t or "").replace("  ", " ")
+    t = re.sub(r"\s+([.,;:!?])", r"\1", t)
+    return re.sub(r"([.,;:!?])([^\s.,;:!?])", r"\1 \2", t).strip()
+
+
+def plain_caption(t):
+    t = re.sub(r"\s{2,}", " ", re.sub(r"""[.!"()*#:;~]""", " ", t.lower()))
+    return " ".join(t.rstrip("\n").strip(" ").split(" ")[:30])
+
+
+def plain_question(t):
+    return " ".join(re.sub(r"""[.!"()*#:;~]""", "", t.lower()).rstrip(" ").split(" ")[:50])
+
+
+def plain_canonical(t):
+    return " ".join(t.replace("_", " ").translate(str.maketrans("", "", string.punctuation)).lower().split())
+
+
+def test_text_queries_take_all_documents(spark, sf, tmp_path):
+    odd = [None, "", "École fermée\xa0! Où\u202f?Là.Été. Ñandú", "\u3000Straße\u2003\xa0Ünder\x85x_y\u2028z .\u3000", "Señor.  ¿Qué?\xa0\xa0sí.\n", "ÀÉ «ça»…\u200a\u200aÇa, va😀 bien\n", "plain_text  here .", "\xa0"]
+    spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plain = {"trim_caption": plain_trim, "space_caption": plain_space, "pre_caption": plain_caption, "pre_question": plain_question, "canonicalize_text": plain_canonical, "whitespace_clean": lambda t: " ".join(t.split())}
+    for folder in (str(tmp_path), sf):
+        texts = [(r.doc_id, r.text) for r in bindings.table(spark, folder, "documents").collect()]
+        assert not all(t and t.isascii() for _, t in texts)
+        for name, f in plain.items():
+            hashed = name not in ("pre_caption", "pre_question")
+            want = {i: None if t is None and name != "space_caption" else hashlib.sha256(f(t).encode()).hexdigest() if hashed else f(t) for i, t in texts}
+            assert {r[0]: r[1] for r in registry.QUERIES[name](spark, folder).collect()} == want, name
+
+
 def test_text_quirks(spark):
     from pyspark.sql import functions as F
 
