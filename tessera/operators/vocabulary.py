@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import tempfile
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -45,19 +46,59 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
+@cache
+def _left_out(m: int, n: int) -> int:
+    """The most characters that matching blocks of names of m and n characters may leave out of both at a ratio over RATIO; -1 if the lengths rule it out."""
+    return next((m + n - 2 * k for k in range(min(m, n) + 1) if 2.0 * k / (m + n) > RATIO), -1)
+
+
+@cache
+def _cuts(m: int) -> list[tuple[int, int]]:
+    """Bounds of the pieces of a name of m characters: one more than any name at least as long may break. A character left out of either name breaks one piece at most, so one lies whole in the other name."""
+    k, n = 1, m
+    while (d := _left_out(m, n)) >= 0:
+        k, n = max(k, d + 1), n + 1
+    return [(i * m // k, (i + 1) * m // k) for i in range(k)]
+
+
+def _met_by(c: str) -> list[str]:
+    n, out, m = len(c), set(), len(c)
+    while m and (d := _left_out(m, n)) >= 0:
+        for i, (start, end) in enumerate(_cuts(m)):
+            # moved by the characters left out before it: of the shorter name to the left, of the longer one to the right
+            for at in range(max(0, start - (d - n + m) // 2), min(n - end + start, start + (d + n - m) // 2) + 1):
+                out.add(f"{m} {i} {c[at : at + end - start]}")
+        m -= 1
+    return list(out)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _pieces(c: pd.Series) -> pd.Series:
+    """The pieces of a name, each with the name's length and its number."""
+    return pd.Series([[f"{len(x)} {i} {x[a:b]}" for i, (a, b) in enumerate(_cuts(len(x)))] for x in c])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _met(c: pd.Series) -> pd.Series:
+    """What a name holds in the places where pieces of names up to its length may lie."""
+    return pd.Series([_met_by(x) for x in c])
+
+
 def variant_pairs(concepts: DataFrame) -> DataFrame:
     """(earlier, later, kind) of concepts that are spellings of one another: one is the other's initials, or both are long and their match ratio is over RATIO.
 
-    Candidates share a block: initials, or a first letter with lengths that allow the ratio.
+    Candidates share their initials or a piece (_pieces, _met); no pair is lost.
     """
     c = concepts.select("ord", F.lower("concept").alias("c"))
     many = c.where(F.size(F.split("c", " ")) >= 2).select("ord", "c", initials(F.col("c")).alias("short"))
     one = c.where(F.size(F.split("c", " ")) == 1).select(F.col("ord").alias("o2"), F.col("c").alias("short"))
     short = many.join(one, "short").select(F.least("ord", "o2").alias("earlier"), F.greatest("ord", "o2").alias("later"), F.lit("abbreviation").alias("kind"))
     x = c.where(F.length("c") > LONGER_THAN)
-    y = x.select(F.col("ord").alias("o2"), F.col("c").alias("c2"), F.substring("c", 1, 1).alias("letter"))
-    near = x.withColumn("letter", F.substring("c", 1, 1)).join(y, "letter").where((F.col("ord") < F.col("o2")) & (2 * F.least(F.length("c"), F.length("c2")) > RATIO * (F.length("c") + F.length("c2"))))
-    spelled = near.where(_ratio("c", "c2") > RATIO).select(F.col("ord").alias("earlier"), F.col("o2").alias("later"), F.lit("spelling").alias("kind"))
+    shorter = x.select("ord", "c", F.explode(_pieces("c")).alias("piece"))
+    longer = x.select(F.col("ord").alias("o2"), F.col("c").alias("c2"), F.explode(_met("c")).alias("piece"))
+    swap = F.col("ord") > F.col("o2")
+    near = shorter.join(longer, "piece").where("ord <> o2").select(F.least("ord", "o2").alias("earlier"), F.greatest("ord", "o2").alias("later"), F.when(swap, F.col("c2")).otherwise(F.col("c")).alias("a"), F.when(swap, F.col("c")).otherwise(F.col("c2")).alias("b")).distinct()
+    spelled = near.where(_ratio("a", "b") > RATIO).select("earlier", "later", F.lit("spelling").alias("kind"))
     return short.unionByName(spelled).distinct()
 
 

@@ -1,3 +1,4 @@
+import difflib
 import hashlib
 import io
 import random
@@ -145,6 +146,42 @@ def test_suppression_and_fusion(spark):
     assert fused["a"].n_boxes == 2 and abs(fused["a"].score - 0.85 * 2 / 4) < 1e-9 and abs(fused["b"].score - 0.7 / 4) < 1e-9
 
 
+def test_spelling_variants_equal_all_pairs(spark, sf):
+    def brute(names):
+        alike = lambda a, b: len(a) > 4 and len(b) > 4 and difflib.SequenceMatcher(None, a, b).ratio() > 0.92
+        return {(i, j) for i, a in names for j, b in names if i < j and alike(a.lower(), b.lower())}
+
+    r = random.Random(3)
+    names = ["cold anvil", "old anvil", "esquire", "squire", "Xhotographic film", "photographic film", "hair drier", "hair dryer", "same name", "Same Name", "abcd", "bcd", "été éternel", "eté éternel"]
+    for _ in range(60):
+        name = "".join(r.choices("abc de", k=r.randint(6, 60)))
+        names.append(name)
+        for _ in range(4):
+            other = list(name)
+            for _ in range(r.randint(1, 5)):
+                at = r.choice([0, 0, len(other) - 1, r.randrange(len(other))])
+                other[at : at + r.randint(0, 1)] = r.choices("abcxyz", k=r.randint(0, 2))
+                other = other or ["a"]
+            names.append("".join(other))
+    r.shuffle(names)
+    names = list(enumerate(names))
+    made = spark.createDataFrame(names, "ord long, concept string")
+    want = brute(names)
+    assert len(want) > 100
+    assert {(p.earlier, p.later) for p in vocabulary.variant_pairs(made).where("kind = 'spelling'").collect()} == want
+
+    # the queries, and leaders one by one over their pairs
+    parts = [(c.ord, c.concept) for c in bindings.table(spark, sf, "part").groupBy("p_name").agg({"p_partkey": "min"}).toDF("concept", "ord").collect()]
+    pairs = {(p.earlier, p.later) for p in registry.QUERIES["vocab_variants"](spark, sf).collect()}
+    assert {(p.earlier, p.later) for p in registry.QUERIES["vocab_variants"](spark, sf).where("kind = 'spelling'").collect()} == brute(parts)
+    kept, leader = [], {}
+    for i, _ in sorted(parts):
+        leader[i] = next((k for k in kept if (k, i) in pairs), i)
+        if leader[i] == i:
+            kept.append(i)
+    assert {x.ord: x.leader for x in registry.QUERIES["vocab_leader_merge"](spark, sf).collect()} == leader
+
+
 def test_leaders_are_not_a_closure(spark):
     c = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "ord long, concept string")
     pairs = spark.createDataFrame([(1, 2), (2, 3)], "earlier long, later long")
