@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import read
 from tessera.llm.licence_texts import LICENCES
 
-COPYRIGHT = r"(^|\n)[ \t*#/;>-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Lines that state a copyright. "Copyright" before one of these words belongs to a sentence that was wrapped there, unless a colon follows.
+WRAPPED = r"(notices?|holders?|owners?|licen[cs]es?|laws?|statements?|interests?|and|or)\b(?![ \t]*:)"
+COPYRIGHT = rf"(^|\n)[ \t*#/;>-]*(copyright(?![\s*#/;>-]+{WRAPPED})|\(c\)|©|all rights reserved)[^\n]*"
+#: The same in the SQL, which has no lookahead and so takes wrapped lines for statements.
+SQL_COPYRIGHT = r"(^|\n)[ \t*#/;>-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 #: Spellings that count as the same, after lower-casing.
 EQUIVALENT = (
     ("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"), ("non-infringement", "noninfringement"), ("organisation", "organization"),
@@ -49,7 +53,7 @@ def op6_licence_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql(text: str) -> str:
-    out = f"regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT}', chr(10), 'g')"
+    out = f"regexp_replace(lower(coalesce({text}, '')), '{SQL_COPYRIGHT}', chr(10), 'g')"
     for a, b in EQUIVALENT:
         out = f"replace({out}, '{a}', '{b}')"
     return f"trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g'))"

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -179,6 +180,15 @@ def test_licences(spark, odd, empty):
     mit = dict(licences.LICENCES)["MIT"]
     d = spark.createDataFrame([(1, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " ;")), (2, mit + " more"), (3, None)], "doc_id long, text string")
     assert {r.id: r.licence_id for r in licences.scan(d).collect()} == {1: "MIT", 2: None, 3: None}
+    wrapped = []
+    for name, body in licences.LICENCES:
+        for width in range(20, 101):
+            for head, mark in (("Copyright (c) 2020 Someone\n(c) 2021 Other\nAll rights reserved.\n\n", ""), ("Copyright 2020, Someone\nCopyright holder: Someone\n\n", " * "), ("", "# ")):
+                lines = [x for part in body.split("\n") for x in textwrap.wrap(part, width, break_long_words=False, break_on_hyphens=False) or [""]]
+                wrapped.append((len(wrapped), name, "\n".join(mark + x for x in [*head.split("\n"), *lines])))
+    assert sum("\ncopyright notice" in x[2].lower() for x in wrapped) > 10
+    d2 = spark.createDataFrame(wrapped, "doc_id long, name string, text string")
+    assert {(r.id, r.licence_id) for r in licences.scan(d2).collect()} == {(i, name) for i, name, _ in wrapped}
     assert licences.scan(odd).count() == len(ODD) and licences.scan(empty).count() == 0
     assert not any(x in licences.scan(d)._jdf.queryExecution().toString() for x in ("Python", "Arrow", "Pandas"))
 
