@@ -23,7 +23,7 @@ PAGES = "id long, page int, width int, height int, channels int, compression int
 
 
 def pages(files: DataFrame, id_col: str, media: str) -> DataFrame:
-    """A row for each page of each file (PAGES); a file that can't be read gives one row with its error after the pages before it. Null files give none."""
+    """A row for each page of each file (PAGES); a page that can't be read gives a row with its error, and the next ones follow as long as their offsets can be read. Null files give none."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PAGES.split(", ")]
@@ -32,11 +32,11 @@ def pages(files: DataFrame, id_col: str, media: str) -> DataFrame:
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = []
                 if data is not None:
-                    try:
-                        for p in tiff.decode_pages(data):
+                    for p in tiff.read_pages(data):
+                        if isinstance(p, ValueError):
+                            rows.append((i, len(rows), None, None, None, None, None, None, None, str(p)))
+                        else:
                             rows.append((i, p.number, p.width, p.height, p.channels, p.compression, p.predictor, p.tiled, p.samples.tobytes(), None))
-                    except ValueError as error:
-                        rows.append((i, len(rows), None, None, None, None, None, None, None, str(error)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 

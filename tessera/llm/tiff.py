@@ -161,25 +161,39 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]],
     return fields, following
 
 
-def decode_pages(data: bytes) -> Iterator[Page]:
-    """A page for each image directory. Raises ValueError for what is no TIFF, is cut off, refers back to a directory, or isn't 8- or 16-bit in chunky order."""
+def read_pages(data: bytes) -> Iterator[Page | ValueError]:
+    """A page for each image directory, or the error of one that can't be read; goes on as long as the next directory's offset can be read. Ends with an error where the data are no TIFF, are cut off or refer back to a directory."""
     if len(data) < 8 or data[:4] not in (b"II*\0", b"MM\0*"):
-        raise ValueError("no TIFF header")
+        yield ValueError("no TIFF header")
+        return
     order = "<" if data[:2] == b"II" else ">"
     (at,) = struct.unpack_from(order + "I", data, 4)
     seen: set[int] = set()
     while at:
         if at in seen:
-            raise ValueError("directories form a circle")
+            yield ValueError("directories form a circle")
+            return
         seen.add(at)
+        number, following = len(seen) - 1, 0
         try:
-            fields, following = _directory(data, at, order)
-            yield _page(data, fields, order, len(seen) - 1)
+            (n,) = struct.unpack_from(order + "H", data, at)
+            (following,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
+            yield _page(data, _directory(data, at, order)[0], order, number)
         except (struct.error, KeyError, IndexError, zlib.error) as error:
-            raise ValueError(f"page {len(seen) - 1} can't be read: {error}") from error
+            yield ValueError(f"page {number} can't be read: {error}")
+        except ValueError as error:
+            yield error
         at = following
 
 
+def decode_pages(data: bytes) -> Iterator[Page]:
+    """A page for each image directory. Raises ValueError for what is no TIFF, is cut off, refers back to a directory, or isn't 8- or 16-bit in chunky order."""
+    for page in read_pages(data):
+        if isinstance(page, ValueError):
+            raise page
+        yield page
+
+
 def _page(data: bytes, fields: dict[int, list[int]], order: str, number: int) -> Page:
     one = lambda tag, default: fields.get(tag, [default])[0]
     width, height = fields[WIDTH][0], fields[HEIGHT][0]

@@ -212,6 +212,14 @@ def test_media(spark, odd, empty):
     assert media.pages(files, "id", "media").where("error IS NULL").count() >= len(ODD)
     bad = spark.createDataFrame([(1, bytearray(b"II*\0")), (2, None), (3, bytearray(tiff.encode([np.zeros((4, 4), np.uint8)])[:-20]))], "id long, media binary")
     assert {r.id for r in media.pages(bad, "id", "media").where("error IS NOT NULL").collect()} == {1, 3}
+    three = bytearray(tiff.encode([np.full((4, 4), k, np.uint8) for k in range(3)]))
+    first = int.from_bytes(three[4:8], "little")
+    n = int.from_bytes(three[first : first + 2], "little")
+    second = int.from_bytes(three[first + 2 + 12 * n : first + 6 + 12 * n], "little")
+    bits = next(k for k in range(second + 2, second + 2 + 12 * n, 12) if int.from_bytes(three[k : k + 2], "little") == tiff.BITS)
+    three[bits + 8] = 1
+    got = media.pages(spark.createDataFrame([(1, three)], "id long, media binary"), "id", "media").orderBy("page").collect()
+    assert [(r.page, r.samples and set(r.samples), r.error is None) for r in got] == [(0, {0}, True), (1, None, False), (2, {2}, True)]
 
 
 def test_arrow_files(spark, odd, empty):
