@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +21,11 @@ BUCKET_ROWS, MIN_BUCKETS = 20_000, 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of its own only where none is set."""
+    """The folder all executors share (spark.checkpoint.dir). Where none is set, a folder of its own if all runs on this machine, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -50,9 +54,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def chunks(batch: pa.RecordBatch, column: int, most: int = 10_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose text column holds about `most` bytes at most (or one row), so that memory stays bounded."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, batches that go to Python have `rows` rows at most (for rows that hold texts)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; Python workers live on between tasks and would hold it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def chunks(batch: pa.RecordBatch, columns: int | tuple[int, ...], most: int = 10_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose text columns together hold about `most` bytes at most (or one row), so that memory stays bounded."""
+    each = [pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ((columns,) if isinstance(columns, int) else columns)]
+    sizes = np.sum(each, axis=0)
     edges = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1).tolist(), batch.num_rows]
     for a, b in zip(edges, edges[1:], strict=False):
         if b > a:

@@ -1,12 +1,14 @@
 """Near-duplicate groups by BagMinHash bands and exact multiset overlap.
 
-Documents are multisets of five-word shingles. (1) Texts with equal words form classes; one of a class goes on.
+Documents are multisets of five-word shingles. (1) Texts with equal words form classes; one of a class goes on, under
+a key of its own (ids may repeat).
 (2) Bands of a weighted-Jaccard signature give candidates. All members of a bucket are first compared with one leader only, so a bucket of n
 costs n pairs: the one with most company in all its buckets, which is the middle of a cloud of copies;
 (3) links are verified on the texts and joined to groups; (4) members in different groups that were both
 compared with a leader can only be alike if their differences from that leader share an element (see
 Differences), so only such pairs are compared. All members of a bucket have its leader in common.
-No candidate link is lost. Pairs whose lengths or signature sketches rule out the threshold are not formed.
+The pairs of step 4 are left out where lengths rule the threshold out, which is exact, or where the signatures' sketches do, which loses
+a pair at the threshold once in ten million (SKETCH); the bands lose one in 140,000.
 
 Differences. Let |x ^ y| be the size of the symmetric difference of two multisets. x and y are linked when
 |x ^ y| <= R (|x| + |y|), R = (1 - T) / (1 + T). For a leader c let X = x ^ c and Y = y ^ c; then
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bagminhash import mix, signatures
-from tessera.llm.common import chunks, read, written
+from tessera.llm.common import arrow_rows, chunks, give_back, read, written
 
 WORDS, THRESHOLD = 5, 0.8
 RATIO = (1 - THRESHOLD) / (1 + THRESHOLD)
@@ -40,8 +42,10 @@ PLANES = 4
 SKETCHES = [f"s{i}" for i in range(2 * PLANES)]
 #: Registers of the sketches that may differ: of a pair at 0.8 they are 24 of 128 on average; more than this happens once in ten million such pairs.
 SKETCH = 51
-#: Text of about this many characters is worked on at once.
-CHUNK = 4_000_000
+#: Text of about this many bytes is worked on at once, and rows with texts in a batch at most.
+CHUNK, BATCH = 1_000_000, 500
+#: Pairs that one part of a leader's members has on average at most, and the least number of parts.
+PART_PAIRS, PARTS = 20_000, 64
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
@@ -75,25 +79,26 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[
 
 
 def described(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """id, digest of the words, weight (number of shingles), SKETCHES, bands (a hash for each band)."""
+    """id, mark (hash of the text), digest of the words, weight (number of shingles), SKETCHES, bands (a hash for each band)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in chunks(whole, 1, CHUNK):
-                n = batch.num_rows
-                doc, shingle, count, digests = shingles(batch.column(1))
-                sig = signatures(doc, shingle, count, n, BANDS * WIDTH)
-                bits = np.concatenate([(sig[:, :128] >> np.uint64(k)) & np.uint64(1) for k in range(PLANES)], axis=1).astype(np.uint8)
-                sketch = np.packbits(bits, axis=1).view(">u8").astype(np.uint64).view(np.int64)
-                band = np.zeros((n, BANDS), np.uint64)
-                for k in range(WIDTH):
-                    band = mix(band * np.uint64(31) + sig.reshape(n, BANDS, WIDTH)[:, :, k])
-                band += np.arange(BANDS, dtype=np.uint64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(band.view(np.int64).ravel()))
-                weight = np.bincount(doc, weights=count, minlength=n).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(weight), *(pa.array(x) for x in sketch.T), lists], ["id", "digest", "weight", *SKETCHES, "bands"])
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(sign, f"id long, digest binary, weight long, {', '.join(f'{s} long' for s in SKETCHES)}, bands array<long>")
+        for batch in (part for whole in batches for part in chunks(whole, 1, CHUNK)):
+            n = batch.num_rows
+            doc, shingle, count, digests = shingles(batch.column(1))
+            sig = signatures(doc, shingle, count, n, BANDS * WIDTH)
+            bits = np.concatenate([(sig[:, :128] >> np.uint64(k)) & np.uint64(1) for k in range(PLANES)], axis=1).astype(np.uint8)
+            sketch = np.packbits(bits, axis=1).view(">u8").astype(np.uint64).view(np.int64)
+            band = np.zeros((n, BANDS), np.uint64)
+            for k in range(WIDTH):
+                band = mix(band * np.uint64(31) + sig.reshape(n, BANDS, WIDTH)[:, :, k])
+            band += np.arange(BANDS, dtype=np.uint64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(band.view(np.int64).ravel()))
+            weight = np.bincount(doc, weights=count, minlength=n).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(weight), *(pa.array(x) for x in sketch.T), lists], ["id", "mark", "digest", "weight", *SKETCHES, "bands"])
+        give_back()
+
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+    return own.mapInArrow(sign, f"id long, mark long, digest binary, weight long, {', '.join(f'{s} long' for s in SKETCHES)}, bands array<long>")
 
 
 def _sketches_near(a: str, b: str) -> Column:
@@ -143,7 +148,7 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """COMPARED for pairs (leader a, member b, with its SKETCHES): probe (for members that are not linked) and lookup are the prefixes of the difference from the leader."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in chunks(whole, 3, CHUNK)):
+        for batch in (part for whole in batches for part in chunks(whole, (2, 3), CHUNK)):
             similarity, size_a, size_b, added, missing, element, offsets = differences(batch.column(2), batch.column(3))
             total = added + missing
             excess = total - RATIO * (size_a + size_b)
@@ -151,25 +156,29 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             lookup = _prefixes(element, offsets, total - np.floor((1 - RATIO) * total / 2 - 1e-9).astype(np.int64))
             columns = [batch.column(0), batch.column(1), pa.array(similarity), pa.array(size_b), pa.array(added), pa.array(missing), probe, lookup, *batch.columns[4:]]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in COMPARED.split(", ")])
+        give_back()
 
     return _with_texts(pairs, texts).mapInArrow(compare, COMPARED)
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, the texts of both and further columns of pairs; texts has one row per id."""
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("_ta"))
+    """a, b, the texts of both and further columns of pairs (a written table); texts has one row per id. A leader's members are dealt to parts by a hash, and its text goes once to each part that has any."""
+    parts = max(PARTS, -(-pairs.count() // PART_PAIRS))
+    dealt = pairs.withColumn("_part", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int"))
+    left = dealt.select("a", "_part").distinct().join(texts.select(F.col("id").alias("a"), F.col("text").alias("_ta")), "a")
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("_tb"))
     rest = [c for c in pairs.columns if c not in ("a", "b")]
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb", *rest)
+    return dealt.join(right, "b").join(left, ["a", "_part"]).select("a", "b", "_ta", "_tb", *rest)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids whose texts overlap by THRESHOLD or more."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in chunks(whole, 3, CHUNK)):
+        for batch in (part for whole in batches for part in chunks(whole, (2, 3), CHUNK)):
             linked = pa.array(differences(batch.column(2), batch.column(3))[0] >= THRESHOLD)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(linked), batch.column(1).filter(linked)], ["a", "b"])
+        give_back()
 
     return _with_texts(pairs, texts).mapInArrow(check, "a long, b long")
 
@@ -198,39 +207,47 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: id, class_id (smallest id with equal words), group_id (smallest id of its near-duplicate group), n_links (links verified at its class).
+    """One row per input row: id, mark (xxhash64 of the text), class_id (smallest id with equal words), group_id (smallest id of its near-duplicate group),
+    n_links (links verified at its class), kept (whether the row has the group's smallest id and, of that id's texts there, the smallest mark).
 
-    Null texts count as empty; all texts without words are one class. Ids are taken as unique; rows that share an id share its fate. Null ids stay alone
-    (class_id and group_id null).
+    Null texts count as empty; all texts without words are one class. Rows that share an id are judged each by its own text; rows repeated in full
+    share their fate. Null ids stay alone (class_id and group_id null, kept). Other columns of docs are not read, so their names don't matter; an empty table gives no rows.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = written(described(base, "id", "text"), "signed")
-    rows = signed.select("id", "digest")
-    first = signed.where("id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    first = written(first, "classes")
-    reps = signed.join(first.select("digest", F.col("class_id").alias("id")), ["digest", "id"]).where("weight > 0").dropDuplicates(["id"])
-    members = written(reps.select("id", F.explode("bands").alias("band")), "members")
+    spark = docs.sparkSession
+    signed = written(described(docs, id_col, text), "signed")
+    first = signed.where("id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("m"), F.max("weight").alias("weight"))
+    # The key of a class, fixed by being written.
+    first = written(first.select("digest", F.col("m.id").alias("class_id"), F.col("m.mark").alias("class_mark"), "weight", F.monotonically_increasing_id().alias("key")), "classes")
+    own = first.where("weight > 0").select("digest", F.col("class_id").alias("id"), F.col("class_mark").alias("mark"), "key")
+    reps = signed.join(own, ["digest", "id", "mark"]).dropDuplicates(["key"])
+    members = written(reps.select(F.col("key").alias("id"), F.explode("bands").alias("band")), "members")
     sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = members.join(sizes, "band")
     company = written(shared.groupBy("id").agg(F.sum("n").alias("company")), "company")
-    known = signed.join(company, "id").dropDuplicates(["id"]).select("id", F.struct("id", "weight", *SKETCHES).alias("m"), "company")
+    known = reps.join(company.withColumnRenamed("id", "key"), "key").select(F.col("key").alias("id"), F.struct(F.col("key").alias("id"), "weight", *SKETCHES).alias("m"), "company")
     shared = written(shared.join(known, "id").select("band", "m", "company"), "shared")
     leads = shared.groupBy("band").agg(F.min(F.struct(-F.col("company"), "m")).alias("best")).select("band", F.col("best.m.id").alias("a"))
     star = shared.join(leads, "band").where("m.id <> a").select("a", F.col("m.id").alias("b"), *[f"m.{s}" for s in SKETCHES]).distinct()
     star = written(star, "star")
-    seen = written(compared(star, _texts_of(base, star)), "compared")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    with arrow_rows(spark, BATCH):
+        seen = written(compared(star, _texts_of(texts, own, star)), "compared")
     links = written(_both_ways(seen.where(F.col("similarity") >= THRESHOLD)).distinct(), "links")
     labels = written(components(links), "labels")
     cross = written(_apart(seen, labels).distinct().join(_both_ways(star), ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
-        links = written(links.unionByName(verified(cross, _texts_of(base, cross))), "links2")
+        with arrow_rows(spark, BATCH):
+            links = written(links.unionByName(verified(cross, _texts_of(texts, own, cross))), "links2")
         labels = written(components(links), "labels2")
-    counts = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
-    known = first.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").join(counts, "class_id", "left")
-    known = known.select("digest", "class_id", F.coalesce("root", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = rows.join(known, "digest", "left")
+    counts = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
+    rooted = first.join(labels.withColumnRenamed("id", "key"), "key", "left").join(counts, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    heads = rooted.groupBy("root").agg(F.min(F.struct("class_id", "class_mark")).alias("head"))
+    known = rooted.join(heads, "root").select("digest", "class_id", "head", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = signed.select("id", "mark", "digest").join(known, "digest", "left")
     alone = F.col("id").isNull()
-    return out.select("id", F.when(~alone, F.col("class_id")).alias("class_id"), F.when(~alone, F.col("group_id")).alias("group_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).alias("n_links"))
+    of = lambda c: F.when(~alone, F.col(c))
+    kept = alone | ((F.col("id") == F.col("head.class_id")) & (F.col("mark") == F.col("head.class_mark")))
+    return out.select("id", "mark", of("class_id").alias("class_id"), of("head.class_id").alias("group_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).alias("n_links"), kept.alias("kept"))
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
@@ -255,12 +272,13 @@ def _apart(seen: DataFrame, labels: DataFrame) -> DataFrame:
     return x.join(y, ["a", "e"]).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _texts_of(base: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts of the ids of pairs, one row each."""
-    needed = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), "needed")
-    return base.join(needed, "id").groupBy("id").agg(F.min("text").alias("text"))
+def _texts_of(texts: DataFrame, own: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, text) of the keys of pairs, one row each. own tells the id and mark of the text that stands for a key."""
+    needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "key")
+    needed = written(own.select("key", "id", "mark").join(needed, "key"), "needed")
+    return texts.join(needed, ["id", "mark"]).groupBy("key").agg(F.min("text").alias("text")).withColumnRenamed("key", "id")
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
     out = groups(read(spark, sf_dir, "documents"))
-    return out.select(F.col("id").alias("doc_id"), "class_id", "group_id", "n_links", (F.col("id") == F.col("group_id")).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", "group_id", "n_links", "kept")
