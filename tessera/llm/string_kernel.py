@@ -2,26 +2,32 @@
 
 Two strings are alike by the subsequences of three letters they share; an occurrence weighs
 DECAY ** (letters it spans), so gaps and inserted characters cost little. Spans are at most SPAN letters.
+A letter said several times in a row counts once, so stretched words are read as the plain ones.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
-DECAY, SPAN = 0.7, 7
+DECAY, SPAN = 0.85, 7
 SYMBOLS = 32
 #: Look-alike characters read as letters (fixed values).
 ALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 EDGE = 31
 
 
+_RUN = re.compile(r"(.)\1+", re.S)
+
+
 def letters(word: str) -> str:
-    """The letters of a lower-case word; look-alikes count as letters between letters. Words without a letter give ''."""
-    if word.isalpha():
-        return word
-    if not any(map(str.isalpha, word)):
-        return ""
-    return "".join(filter(str.isalpha, word.rstrip(".,;:!?|$").translate(ALIKE)))
+    """The letters of a lower-case word, runs of one letter as one; look-alikes count as letters between letters. Words without a letter give ''."""
+    if not word.isalpha():
+        if not any(map(str.isalpha, word)):
+            return ""
+        word = "".join(filter(str.isalpha, word.rstrip(".,;:!?|$").translate(ALIKE)))
+    return _RUN.sub(r"\1", word)
 
 
 def codes(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,10 +53,9 @@ def subsequences(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for a in range(1, b):
             keys.append(ends + symbol[at + a] * SYMBOLS)
             weights.append(np.full(len(at), DECAY ** (b + 1)))
-    if not keys:
-        none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0)
-    key, weight = np.concatenate(keys), np.concatenate(weights)
+    key, weight = np.concatenate([*keys, np.zeros(0, np.int64)]), np.concatenate([*weights, np.zeros(0)])
+    if not len(key):
+        return key, key, weight
     order = np.argsort(key)
     key, weight = key[order], weight[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))

@@ -268,17 +268,95 @@ def test_repeated_equals_brute_force():
         assert (html_text.repeated(token, page, 4) == want).all()
 
 
-def test_toxicity(spark, odd, empty):
+INSULTS = "loser idiot pathetic clown moron scum trash worthless disgusting stupid".split()
+
+
+def disguised(r, word, kind):
+    k = r.randrange(1, len(word))
+    return {
+        "plain": word,
+        "inserted": word[:k] + r.choice("abcdefghijklmnopqrstuvwxyz") + word[k:],
+        "gapped": " ".join(word),
+        "dotted": ".".join(word),
+        "starred": word[:k] + "*" + word[k:],
+        "stretched": word[:k] + word[k - 1] * 3 + word[k:],
+    }[kind]
+
+
+@pytest.fixture(scope="module")
+def machine():
+    """A model fitted on sentences of which a quarter holds an insult, and a maker of clean sentences."""
     r = random.Random(0)
-    clean = lambda: " ".join("".join(r.choice(["an", "the", "or", "li", "st", "re"]) for _ in range(r.randint(1, 4))) for _ in range(30))
-    texts = [clean() for _ in range(300)] + [clean() + " " + r.choice(["idiot", "moron", "scum"]) for _ in range(90)]
-    model = toxicity.fit(texts, [0] * 300 + [1] * 90)
-    score = toxicity.Scorer(model).texts(pa.array([clean() + " you i d i o t", clean() + " mo-ron", clean(), None, ""]))
-    assert score[0] > 0.7 and score[1] > 0.7 and (score[2:] < 0.3).all()
+    parts = "an the or li st re ing tion ed al er ou wh ble".split()
+    clean = lambda: " ".join("".join(r.choice(parts) for _ in range(r.randint(1, 4))) for _ in range(40))
+    texts = [clean() for _ in range(900)] + [f"{clean()} {r.choice(INSULTS)} {clean()}" for _ in range(300)]
+    return toxicity.fit(texts, [0] * 900 + [1] * 300), clean
+
+
+@pytest.mark.parametrize("kind", ["plain", "inserted", "gapped", "dotted", "starred", "stretched"])
+def test_toxicity_recall_by_form(machine, kind):
+    r, (model, clean) = random.Random(1), machine
+    score = toxicity.Scorer(model).texts(pa.array([f"{clean()} {disguised(r, INSULTS[k % 10], kind)} {clean()}" for k in range(300)]))
+    assert (score >= toxicity.THRESHOLD).mean() >= 0.9
+
+
+def test_toxicity_leaves_clean_sentences(machine):
+    model, clean = machine
+    assert (toxicity.Scorer(model).texts(pa.array([clean() for _ in range(500)])) < toxicity.THRESHOLD).mean() >= 0.99
+
+
+def test_toxicity_odd_units(machine):
+    """Slices of units without letters, of one letter, of none, and a long table of numbers after ordinary words."""
+    model, clean = machine
+    scorer = toxicity.Scorer(model)
+    numbers = " ".join(map(str, range(10**6, 10**6 + 30_000)))
+    score = scorer.texts(pa.array(["12 34 56", "", None, numbers, f"{clean()} {numbers} idiot", "a", "x y", "!!! ???"]))
+    assert score[4] >= toxicity.THRESHOLD and (np.delete(score, 4) < toxicity.THRESHOLD).all()
+    assert toxicity.Scorer(model).texts(pa.array([], pa.string())).tolist() == []
+    for units in ([""], ["a"], ["", "", "idiot", ""], [""] * 5000 + ["idiot"] + [""] * 5000):
+        kernel = toxicity.sk.Landmarks(["idiot"]).kernel(units)
+        assert [u for u, k in zip(units, kernel[:, 0], strict=True) if k > 0.5] == [u for u in units if u == "idiot"]
+
+
+def test_kernel_equals_brute_force():
+    def features(unit):
+        word, out = [-1, *unit, -1], defaultdict(float)
+        for i in range(len(word)):
+            for k in range(i + 2, min(i + toxicity.sk.SPAN, len(word))):
+                for j in range(i + 1, k):
+                    out[word[i], word[j], word[k]] += toxicity.sk.DECAY ** (k - i + 1)
+        return out
+
+    r = random.Random(2)
+    units = ["".join(r.choice("abcde") for _ in range(r.randint(1, 12))) for _ in range(40)]
+    got = toxicity.sk.Landmarks(units).kernel(units)
+    each = [features(u) for u in units]
+    dot = lambda x, y: sum(v * y.get(k, 0) for k, v in x.items())
+    for i, x in enumerate(each):
+        for j, y in enumerate(each):
+            assert abs(got[i, j] - dot(x, y) / np.sqrt(dot(x, x) * dot(y, y))) < 1e-5
+
+
+def test_toxicity(spark, odd, empty, machine):
+    model, _ = machine
     got = toxicity.score(odd, model).collect()
     assert len(got) == len(ODD) and all(0 <= x["score"] <= 1 for x in got)
+    texts = {i: {x["score"] for x in got if x.id == 7 and x.doc_id == i} for i in (1, 2, 3)}
+    assert texts[1] == texts[2] == texts[3]
     nothing = toxicity.train(empty, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert {x["score"] for x in toxicity.score(odd, nothing).collect()} == {0.0} or not nothing.landmarks
+    assert not nothing.landmarks and {x["score"] for x in toxicity.score(odd, nothing).collect()} == {0.0}
+    assert toxicity.score(empty, model).count() == 0
+    with pytest.raises(ValueError):
+        toxicity.score(odd, model, column="MARK")
+
+
+def test_toxicity_learns_from_its_rows_only(spark):
+    """Held-out rows, null labels and null texts teach nothing; of several labels of an id the toxic one counts."""
+    r = random.Random(3)
+    docs = [(i, " ".join(r.choice("abcdefghij") * 3 + str(i % 7) for _ in range(5)) + (" idiot" if i % 4 == 0 else "")) for i in range(400)] + [(None, "x"), (500, None)]
+    labels = [(i, int(i % 4 == 0) if zlib.crc32(str(i).encode()) % 3 != 1 else 1 - int(i % 4 == 0)) for i in range(400)] + [(5, None), (None, 1), (500, 1)]
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert (toxicity.Scorer(model).texts(pa.array(["abc idiot", "abc def"])) >= toxicity.THRESHOLD).tolist() == [True, False]
 
 
 def test_pipeline(spark, sf):
