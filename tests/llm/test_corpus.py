@@ -243,29 +243,75 @@ def test_arrow_files(spark, odd, empty):
 PAGE = '<html><head><title>t</title></head><body><header>Site</header><nav><a>x</a></nav><article><header><h1>A &amp; B</h1></header><p>One<br>two  <b>three</b><p>Four<script>var a="</p>";</script></article><div class="comments"><p>no</p></div><form>f</form><footer>&copy;</footer></body></html>'
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        (PAGE, ["A & B", "One two three", "Four"]),
+        ('<article><p title="the hidden cost">one</p><p class="a hidden b">two</p><p hidden>no</p></article>', ["one", "two"]),
+        ("<article><p>&<b>lt;</b> &amp;lt; a < b</p></article>", ["&lt; &lt; a < b"]),
+        ('<article><p title="x>one</p><p>two</p></article>', ["one", "two"]),
+        ("<article><p>foo <svg><text>no</text></svg> <button>no</button><script>no</script><math><mi>x</mi></math> bar <noscript>baz</noscript></p></article>", ["foo x bar baz"]),
+        ('<article><section id="related-work"><p>one</p></section><p class="share-price">two</p><div class="related-posts">no</div><div class="ad">no</div><div class="shareButtons">no</div></article>', ["one", "two"]),
+        ('<main><p>one</p></main><article class="comment"><p>no</p></article><div id="comments"><article><p>no</p></article></div>', ["one"]),
+        ("<article><p>one<p>two<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>e</article>", ["one", "two", "a", "b", "c", "d", "e"]),
+        ("<article>&#x41;&eacute;&nbsp;\n x<br>y<!-- <p>no</p> --></article>", ["Aé x y"]),
+        ("", []),
+        ("plain < text", ["plain < text"]),
+    ],
+)
+def test_html_blocks(page, texts):
+    assert [t for _, t in html_text.blocks(page)] == texts
+
+
 def test_html(spark):
-    assert [t for _, t in html_text.blocks(PAGE)] == ["A & B", "One two three", "Four"]
-    shared = "<div>read this long notice that stands on all of the pages here</div>"
-    pages = [(k, "http://h/x", f"<body>{shared}<div>text of page {k} {'abcdefgh'[k]} and no other page has these words {k * 7}</div></body>") for k in range(6)]
-    d = spark.createDataFrame([*pages, (7, None, None), (8, "http://h/y", ""), (9, "http://g/", PAGE)], "page_id long, url string, html string")
+    shared = "read this long notice that stands on all of the pages here"
+    body = lambda k: f"text of page {k} {'abcdefgh'[k]} and no other page has these words {k * 7}"
+    pages = [(k, "http://h/x", f"<body><div>{shared}</div><div>{body(k)}</div><div>{k}{k} only{k} {shared}</div></body>") for k in range(6)]
+    other = (10, "http://other/", f"<body><div>{shared}</div></body>")
+    repeats = [(11, "http://third/", f"<div>{shared} again</div>")] * 2
+    rows_ = [(*r, "z", 1) for r in [*pages, (7, None, None), (8, "http://h/y", ""), (9, "http://g/", PAGE), other, *repeats, (None, "http://h/z", "<p>few</p>")]]
+    d = spark.createDataFrame(rows_, "page_id long, url string, html string, text string, key int")
     got = {r.id: r.text for r in html_text.extract(d).collect()}
-    assert len(got) == 9 and got[7] == got[8] == "" and got[9] == "A & B\nOne two three\nFour"
-    assert all("notice" not in got[k] and f"page {k}" in got[k] for k in range(6))
-    assert html_text.extract(d.limit(0)).count() == 0
+    assert got[7] == got[8] == "" and got[9] == "A & B\nOne two three\nFour" and got[None] == "few"
+    assert got[10] == shared and got[11] == f"{shared} again"
+    assert all(got[k] == f"{body(k)}\n{k}{k} only{k}" for k in range(6))
+    assert html_text.extract(d).count() == len(rows_) and html_text.extract(d.limit(0)).count() == 0
 
 
-def test_repeated_equals_brute_force():
-    r = np.random.default_rng(0)
-    for _ in range(50):
-        token, page = r.integers(0, 3, 60).astype(np.uint64), np.sort(r.integers(0, 4, 60))
-        seen, want = defaultdict(set), np.zeros(60, bool)
-        spans = [(i, tuple(token[i : i + 4])) for i in range(57) if page[i] == page[i + 3]]
-        for i, s in spans:
-            seen[s].add(page[i])
-        for i, s in spans:
-            if len(seen[s]) > 1:
-                want[i : i + 4] = True
-        assert (html_text.repeated(token, page, 4) == want).all()
+def test_html_equals_brute_force(spark):
+    """Open blocks lose exactly the tokens in runs of RUN tokens that another page of the host has."""
+    r = random.Random(0)
+    notices = [" ".join(f"n{k}w{i}" for i in range(r.randint(5, 14))) for k in range(6)]
+    made = lambda k: "".join(f"<div>{t}</div>" for t in [r.choice(notices), " ".join(r.choice("abcd") for _ in range(30)), f"{r.choice(notices)} own{k} {r.choice(notices)}"])
+    pages = [(k, f"http://h{k % 2}/{k}", made(k)) for k in range(40)]
+    streams = {k: [t.split() for _, t in html_text.blocks(page)] for k, _, page in pages}
+    windows = lambda k: [tuple(sum(streams[k], [])[i : i + html_text.RUN]) for i in range(len(sum(streams[k], [])) - html_text.RUN + 1)]
+    seen = defaultdict(set)
+    for k in streams:
+        for w in windows(k):
+            seen[k % 2, w].add(k)
+    got = {x.id: (x.text, x.n_cut) for x in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k, parts in streams.items():
+        covered = np.zeros(sum(map(len, parts)), bool)
+        for i, w in enumerate(windows(k)):
+            if len(seen[k % 2, w]) > 1:
+                covered[i : i + html_text.RUN] = True
+        flat, at, want = sum(parts, []), 0, []
+        for p in parts:
+            want.append(" ".join(t for t, c in zip(flat[at : at + len(p)], covered[at : at + len(p)], strict=True) if not c))
+            at += len(p)
+        assert got[k] == ("\n".join(w for w in want if w), int(covered.sum()))
+
+
+def test_html_without_article_tags(spark, sf):
+    """Pages whose article and structure tags are taken away: the host's runs must not take the article's own text."""
+    whole = spark.read.parquet(f"{sf}/pages.parquet").toPandas()
+    bare = whole.assign(html=whole.html.fillna("").str.replace(r"</?article[^>]*>", "", regex=True))
+    want = html_text.extract(spark.createDataFrame(whole)).toPandas().set_index("id").text
+    got = html_text.extract(spark.createDataFrame(bare)).toPandas().set_index("id").text
+    count = lambda t: Counter(t.split())
+    both = sum(sum((count(got[k]) & count(want[k])).values()) for k in want.index)
+    assert both / sum(len(t.split()) for t in want) > 0.8 and both / sum(len(t.split()) for t in got) > 0.9
 
 
 INSULTS = "loser idiot pathetic clown moron scum trash worthless disgusting stupid".split()
