@@ -265,7 +265,7 @@ def test_html_blocks(page, texts):
 
 def test_html(spark):
     shared = "read this long notice that stands on all of the pages here"
-    body = lambda k: f"text of page {k} {'abcdefgh'[k]} and no other page has these words {k * 7}"
+    body = lambda k: f"text{k} of page {'abcdefgh'[k]} and no other page has these words {k * 7}"
     pages = [(k, "http://h/x", f"<body><div>{shared}</div><div>{body(k)}</div><div>{k}{k} only{k} {shared}</div></body>") for k in range(6)]
     other = (10, "http://other/", f"<body><div>{shared}</div></body>")
     repeats = [(11, "http://third/", f"<div>{shared} again</div>")] * 2
