@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CORNERS = ("x1", "y1", "x2", "y2")
@@ -97,3 +97,10 @@ def fuse(boxes: DataFrame, image: str = "image_id", threshold: float = 0.3, mode
     kind = dict(boxes.dtypes)[image]
     schema = f"{image} {kind}, label string, x1 double, y1 double, x2 double, y2 double, score double, n_boxes long"
     return _in_buckets(boxes.where(F.col("score") >= floor), [image, "label"], one, schema)
+
+
+def ensemble(boxes: DataFrame, image: str = "image_id", scales: int = 4, suppress_over: float = 0.9, fuse_over: float = 0.3, floor: float = 0.26, filter_over: float = 0.5) -> DataFrame:
+    """(image, idx, label, corners, score, n_boxes): suppression within each scale, fusion over all scales, then the filter across labels. idx numbers an image's fused boxes by score."""
+    fused = fuse(suppress(boxes, [image, "scale"], suppress_over), image, fuse_over, scales, floor)
+    by = Window.partitionBy(image).orderBy(F.col("score").desc(), "label", *CORNERS)
+    return overlap_filter(fused.withColumn("idx", F.row_number().over(by).cast("long")), image, filter_over)

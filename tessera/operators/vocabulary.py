@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import tempfile
+from collections.abc import Callable
 from functools import cache
 
 import pandas as pd
@@ -11,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.vector import cosine
+from tessera.functions.similarity import similar_pairs
+from tessera.functions.text import SPACE, singular, strip
+from tessera.functions.vector import cosine, small
 
 RATIO, LONGER_THAN = 0.92, 4
 
@@ -20,19 +23,18 @@ def normal_key(c: Column) -> Column:
     return F.lower(F.replace(c, F.lit("_"), F.lit(" ")))
 
 
-def without_spacing(c: Column) -> Column:
-    return F.regexp_replace(normal_key(c), r"[\s-]", "")
+def single_spaced(c: Column) -> Column:
+    """White space at the ends cut, within made one space."""
+    return F.regexp_replace(strip(c), rf"[{SPACE}]+", " ")
 
 
-def initials(c: Column) -> Column:
-    return F.array_join(F.transform(F.split(F.lower(c), " "), lambda w: F.substring(w, 1, 1)), "")
+def morphological(c: Column, lemma: Callable[[Column], Column] = singular) -> Column:
+    """Each word by its noun lemma, with single spaces."""
+    return F.array_join(F.transform(F.split(single_spaced(c), " "), lemma), " ")
 
 
-def singular(c: Column) -> Column:
-    """A rule-based noun singular for each word: ies to y, (s|sh|ch|x|z)es without es, other s (not ss) dropped."""
-    out = F.regexp_replace(c, r"(\w{2,})ies\b", "$1y")
-    out = F.regexp_replace(out, r"(s|sh|ch|x|z)es\b", "$1")
-    return F.regexp_replace(out, r"(\w{2,}[^s\s])s\b", "$1")
+def initials(c: Column) -> Column:
+    return F.array_join(F.transform(F.split(F.lower(c), " "), lambda w: F.substring(w, 1, 1)), "")
 
 
 def first_of_each(rows: DataFrame, form: Column, order: str) -> DataFrame:
@@ -102,10 +104,21 @@ def variant_pairs(concepts: DataFrame) -> DataFrame:
     return short.unionByName(spelled).distinct()
 
 
+def duplicate_pairs(concepts: DataFrame, embeddings: DataFrame | None = None, threshold: float = 0.95) -> DataFrame:
+    """variant_pairs and, where embeddings (ord, embedding) are given, the pairs whose cosine is over threshold (kind "meaning")."""
+    pairs = variant_pairs(concepts)
+    if embeddings is None:
+        return pairs
+    near = similar_pairs(embeddings, "ord", "embedding", threshold).select(F.col("a").alias("earlier"), F.col("b").alias("later"), F.lit("meaning").alias("kind"))
+    return pairs.unionByName(near.join(pairs, ["earlier", "later"], "left_anti"))
+
+
 def leaders(concepts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(ord, concept, leader): in order, a concept joins the first kept one it is a variant of, or is kept itself. Not a closure: rounds settle those all of whose earlier variants are settled."""
     context = concepts.sparkSession.sparkContext
     if context.getCheckpointDir() is None:  # spark.checkpoint.dir is not set, as in tests
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
     edges = pairs.select("earlier", "later").distinct()
     state = concepts.select("ord", F.lit(None).cast("boolean").alias("kept"))
@@ -122,8 +135,36 @@ def leaders(concepts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def safety(queries: DataFrame, exemplars: DataFrame, race: float = 0.70, nsfw: float = 0.65, margin: float = 0.05) -> DataFrame:
-    """vec_id, the largest cosine to each kind of exemplar (safe, race, nsfw) and a verdict. Exemplars are a fixed small set."""
-    s = queries.crossJoin(F.broadcast(exemplars)).withColumn("s", cosine(F.col("embedding"), F.col("exemplar")))
+    """vec_id, the largest cosine to each kind of exemplar (safe, race, nsfw) and a verdict. Exemplars are a small set; it is broadcast where its size allows."""
+    s = queries.crossJoin(small(exemplars)).withColumn("s", cosine(F.col("embedding"), F.col("exemplar")))
     m = s.groupBy("vec_id").agg(*[F.max(F.when(F.col("kind") == k, F.col("s"))).alias(k) for k in ("safe", "race", "nsfw")])
     verdict = F.when((F.col("race") > race) & (F.col("race") > F.col("safe") + margin), "UNSAFE_RACE").when((F.col("nsfw") > nsfw) & (F.col("nsfw") > F.col("safe") + margin), "UNSAFE_NSFW").otherwise("SAFE")
     return m.withColumn("verdict", verdict)
+
+
+def clean_concepts(vocabulary: DataFrame, embeddings: DataFrame | None = None, verdicts: DataFrame | None = None, lemma: Callable[[Column], Column] = singular) -> tuple[DataFrame, DataFrame]:
+    """(kept, counters) of a vocabulary (ord, concept, value): the first of each key, of each spacing, of each lemma, then leaders of duplicates, then what verdicts (concept, verdict) call SAFE
+    (concepts without a verdict stay). The name of an entry is its normal form, the value that of its first one. Counters: (step, stage, status, n)."""
+    spark = vocabulary.sparkSession
+    now, counts = vocabulary, []
+
+    def count(step: int, stage: str, after: DataFrame, status: str = "removed") -> DataFrame:
+        n, m = now.agg(F.count(F.lit(1)).alias("n")), after.agg(F.count(F.lit(1)).alias("m"))
+        return n.crossJoin(m).select(F.lit(step).alias("step"), F.lit(stage).alias("stage"), F.lit(status).alias("status"), (F.col("n") - F.col("m")).alias("n"))
+
+    for step, (stage, form) in enumerate((("key", normal_key), ("spacing", single_spaced), ("lemma", lambda c: morphological(c, lemma)))):
+        after = first_of_each(now, form(F.col("concept")), "ord").select("ord", F.col("form").alias("concept"), "value")
+        counts.append(count(step, stage, after, "merged"))
+        now = after
+    chosen = leaders(now.select("ord", "concept"), duplicate_pairs(now, embeddings)).where("ord = leader").select("ord")
+    after = now.join(chosen, "ord", "left_semi")
+    counts.append(count(3, "duplicate", after, "merged"))
+    now = after
+    if verdicts is not None:
+        bad = now.join(verdicts.where("verdict <> 'SAFE'"), "concept")
+        counts.append(bad.groupBy(F.col("verdict").alias("status")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(4).alias("step"), F.lit("safety").alias("stage"), "status", "n"))
+        now = now.join(verdicts.where("verdict <> 'SAFE'").select("concept"), "concept", "left_anti").select("ord", "concept", "value")
+    counters = spark.createDataFrame([], "step int, stage string, status string, n long")
+    for c in counts:
+        counters = counters.unionByName(c)
+    return now, counters

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a super-batch.
@@ -41,7 +41,37 @@ BOXES_SQL = """b AS (SELECT l_orderkey AS image_id, row_number() OVER (PARTITION
 l_quantity / 100 AS x1, l_discount AS y1, l_quantity / 100 + 0.2 + l_tax AS x2, l_discount + 0.2 AS y2, 0.2 + (l_extendedprice % 1000) / 1250 AS score, l_returnflag AS label, l_linenumber % 4 AS scale FROM lineitem)"""
 
 
-ASCII_SQL = r"d AS (SELECT * FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*'))"
+#: White space of any script as a class of regular expressions in SQL.
+WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{WHITE}+|{WHITE}+$', '', 'g')"
+
+
+def singular_sql(w: str) -> str:
+    return f"(CASE WHEN regexp_matches({w}, '\\p{{L}}\\p{{L}}ies$') THEN regexp_replace({w}, 'ies$', 'y') WHEN regexp_matches({w}, '(s|sh|ch|x|z)es$') THEN regexp_replace({w}, 'es$', '') WHEN regexp_matches({w}, '\\p{{L}}[^sui\\s]s$') THEN regexp_replace({w}, 's$', '') ELSE {w} END)"
+
+
+def forms_sql(w: str) -> str:
+    """The word, its singular, and the -ing forms and plurals of both."""
+    one = "[x, x || 'ing', CASE WHEN x LIKE '%e' THEN regexp_replace(x, 'e$', 'ing') ELSE x || 'ing' END, CASE WHEN x LIKE '%y' THEN regexp_replace(x, 'y$', 'ies') WHEN regexp_matches(x, '(s|sh|ch|x|z)$') THEN x || 'es' ELSE x || 's' END]"
+    return f"list_sort(list_distinct(flatten(list_transform([{w}, {singular_sql(w)}], lambda x: {one}))))"
+
+
+def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as captions; the classes of each are the different words of four or more letters of one benchmark item, sorted (the items take turns by doc_id)."""
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "), " "), lambda w: F.length(w) >= 4)))
+    items = table(spark, sf_dir, "benchmark").select("item_id", words.alias("classes"))
+    turn = F.row_number().over(Window.orderBy("item_id")) - 1  # a benchmark has few items
+    n = items.agg(F.count(F.lit(1)).alias("n"))
+    numbered = items.withColumn("turn", turn).crossJoin(n)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").crossJoin(n)
+    return docs.withColumn("turn", F.pmod("doc_id", "n").cast("int")).join(numbered.select("turn", "classes"), "turn").select("doc_id", "text", "classes")
+
+
+CAPTIONS_SQL = rf"""i AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS turn, list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g'), ' '), lambda w: length(w) >= 4))) AS classes FROM benchmark),
+cap AS (SELECT doc_id, text, classes FROM documents JOIN i ON turn = doc_id % (SELECT count(*) FROM benchmark))"""
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import boxes as bx
+from tessera.functions import metrics
 from tessera.functions import text as tx
-from tessera.functions import vector as vec
+from tessera.functions import tagging
 from tessera.operators import caption_qa, curation, vocabulary
 from tessera.plans import bindings as b
 from tessera.sources import shards
@@ -99,7 +100,7 @@ def iid_select(spark, d):
     return curation.select(b.samples(spark, d), "iid").select("sb", "idx")
 
 
-@query(f"WITH {b.SAMPLES_SQL}, e AS (SELECT DISTINCT sb, idx, unnest(classes) AS concept FROM s WHERE sb < 2) SELECT x.sb, x.idx, count(DISTINCT y.idx) AS neighbours FROM e x JOIN e y ON x.sb = y.sb AND x.concept = y.concept AND x.idx <> y.idx GROUP BY ALL")
+@query(f"WITH {b.SAMPLES_SQL}, e AS (SELECT DISTINCT sb, idx, unnest(classes) AS concept FROM s) SELECT x.sb, x.idx, count(DISTINCT y.idx) AS neighbours FROM e x JOIN e y ON x.sb = y.sb AND x.concept = y.concept AND x.idx <> y.idx GROUP BY ALL")
 def concept_neighbours(spark, d):
     return curation.concept_neighbours(b.samples(spark, d))
 
@@ -116,8 +117,7 @@ def super_batches(spark, d):
 
 @query(f"WITH {EVENTS} SELECT event_type, count(*) AS samples, CAST(ceil(count(*) / 64) AS BIGINT) AS batches, count(*) // 64 AS whole_batches FROM e GROUP BY 1")
 def count_samples(spark, d):
-    n = F.count(F.lit(1))
-    return b.table(spark, d, "events").groupBy("event_type").agg(n.alias("samples"), F.ceil(n / 64).alias("batches"), F.floor(n / 64).alias("whole_batches"))
+    return metrics.counts(b.table(spark, d, "events"), ["event_type"], 64)
 
 
 @query("WITH x AS (SELECT event_type, event_id, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type THEN 0 ELSE 1 END AS new, user_id, ts FROM events), y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM x) SELECT user_id, CAST(island AS BIGINT) AS island, min(event_type) AS event_type, count(*) AS n, min(event_id) AS first_id FROM y GROUP BY user_id, island")
@@ -166,8 +166,7 @@ def epoch_arithmetic(spark, d):
 
 @query()
 def stratified_k(spark, d):
-    by = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(0), "vec_id"))
-    return b.table(spark, d, "embeddings").select("vec_id", "label", F.row_number().over(by).cast("long").alias("k")).where("k <= 50")
+    return curation.sample_per_class(b.table(spark, d, "embeddings"), "label", "vec_id", 50).select("vec_id", "label", "k")
 
 
 @query()
@@ -175,9 +174,20 @@ def deterministic_shuffle(spark, d):
     return curation.shuffled(_urls(spark), "url", 3, 1)
 
 
-@query("SELECT r AS rank, CAST(1030 // 4 + CASE WHEN r < 1030 % 4 THEN 1 ELSE 0 END AS BIGINT) AS quota, CAST(r * 640 AS BIGINT) AS first_index FROM range(4) AS x(r)")
+@query("WITH s AS (SELECT user_id % 4 AS rank, count(*) AS size FROM events GROUP BY 1) SELECT rank, size, CAST(1030 // 4 + CASE WHEN rank < 1030 % 4 THEN 1 ELSE 0 END AS BIGINT) AS quota, CAST(coalesce(sum(size) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_index FROM s")
 def rank_quota(spark, d):
-    return spark.range(4).select(F.col("id").alias("rank"), F.expr("1030 div 4 + CASE WHEN id < 1030 % 4 THEN 1 ELSE 0 END").alias("quota"), (F.col("id") * 640).alias("first_index"))
+    sizes = b.table(spark, d, "events").groupBy((F.col("user_id") % 4).alias("rank")).agg(F.count(F.lit(1)).alias("size"))
+    return curation.rank_plan(sizes, 1030)
+
+
+@query("SELECT event_id AS idx, event_id - 2 * 640 AS local FROM events WHERE event_id >= 1280 AND event_id < 1920")
+def local_slice(spark, d):
+    return curation.local_slice(b.table(spark, d, "events").select(F.col("event_id").alias("idx")), 2, 640)
+
+
+@query("SELECT event_id, batch, batch // 20 AS epoch FROM (SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1) // 16 AS batch FROM events) WHERE (batch + 1) * 16 <= (SELECT count(*) FROM events)")
+def epoch_batches(spark, d):
+    return curation.epochs(curation.batches(b.table(spark, d, "events"), ["ts", "event_id"], 16), 20).select("event_id", "batch", "epoch")
 
 
 # Filters and projections
@@ -191,10 +201,11 @@ def filter_caption_image(spark, d):
     return rows.groupBy("event_type").agg(F.count_if(shards.usable("members", "txt")).alias("alt"), F.count_if(shards.usable("members", "json")).alias("cabs"))
 
 
-@query("SELECT event_id, coalesce(CASE WHEN event_id % 2 = 0 THEN 'jpg' END, CASE WHEN event_id % 3 = 0 THEN 'png' END, 'webp') AS image FROM events")
+@query("SELECT event_id, coalesce(CASE WHEN event_id % 2 = 0 THEN 'j' END, CASE WHEN event_id % 3 = 0 THEN 'p' END, 'w') AS image FROM events")
 def member_coalesce(spark, d):
     e = F.col("event_id")
-    return b.table(spark, d, "events").select("event_id", F.coalesce(F.when(e % 2 == 0, "jpg"), F.when(e % 3 == 0, "png"), F.lit("webp")).alias("image"))
+    held = F.map_filter(F.create_map(F.lit("jpg"), F.when(e % 2 == 0, "j"), F.lit("png"), F.when(e % 3 == 0, "p"), F.lit("webp"), F.lit("w")), lambda k, v: v.isNotNull())
+    return b.table(spark, d, "events").select("event_id", held.alias("members")).select("event_id", shards.first_present("members").alias("image"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS text, CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 2 END AS n_classes FROM customer")
@@ -226,39 +237,53 @@ def sidecar_names(spark, d):
 # Text
 
 
-@query(f"WITH {b.ASCII_SQL}, t AS (SELECT doc_id, trim(text) AS t FROM d) SELECT doc_id, sha256(trim(CASE WHEN length(t) - length(replace(t, '.', '')) > 1 AND NOT ends_with(t, '.') THEN regexp_extract(t, '(?s)^(.*\\.)', 1) ELSE t END)) AS caption FROM t")
+_STRIPPED = b.strip_sql("text")
+
+
+@query(f"WITH t AS (SELECT doc_id, text, {_STRIPPED} AS t FROM documents) SELECT doc_id, sha256({b.strip_sql("CASE WHEN length(text) - length(replace(text, '.', '')) > 1 AND NOT ends_with(t, '.') THEN regexp_extract(t, '(?s)^(.*\\.)', 1) ELSE t END")}) AS caption FROM t")
 def trim_caption(spark, d):
     return b.table(spark, d, "documents").select("doc_id", F.sha2(tx.trim_caption(F.col("text")), 256).alias("caption"))
 
 
-@query()
+_MARKED = f"regexp_replace(replace(regexp_replace(coalesce(text, ''), '{tx.EMOJI}', '', 'g'), '  ', ' '), '{b.WHITE}+([{tx.MARKS}])', '\\1', 'g')"
+_JOINED = _MARKED
+for _m in "([{?.,!|-/<>~`@#_=;:]})":
+    _JOINED = f"regexp_replace({_JOINED}, '[{chr(92) if _m in '[]-' else ''}{_m}]{{2,}}', '{_m}', 'g')"
+_SPACED = "regexp_replace({0}, '([{1}])([^{2}{1}])', '\\1 \\2', 'g')"
+
+
+@query(f"SELECT doc_id, sha256({b.strip_sql(_SPACED.format(_JOINED, tx.MARKS, b.WHITE[1:-1]))}) AS caption FROM documents")
 def preprocess_caption(spark, d):
     return b.table(spark, d, "documents").select("doc_id", F.sha2(tx.preprocess_caption(F.col("text")), 256).alias("caption"))
 
 
-@query(f"WITH {b.ASCII_SQL}, a AS (SELECT doc_id, replace(coalesce(text, ''), '  ', ' ') AS t FROM d), c AS (SELECT doc_id, regexp_replace(t, '\\s+([.,;:!?])', '\\1', 'g') AS t FROM a) SELECT doc_id, sha256(trim(regexp_replace(t, '([.,;:!?])([^\\s.,;:!?])', '\\1 \\2', 'g'))) AS caption FROM c")
+@query(f"SELECT doc_id, sha256({b.strip_sql(_SPACED.format(_MARKED, tx.MARKS, b.WHITE[1:-1]))}) AS caption FROM documents")
 def space_caption(spark, d):
     return b.table(spark, d, "documents").select("doc_id", F.sha2(tx.preprocess_caption(F.col("text"), join_repeats=False), 256).alias("caption"))
 
 
-@query("WITH t AS (SELECT conv_id, turn, regexp_replace(regexp_replace('system' || chr(10) || 'assistant' || chr(10) || 'The image shows a ' || text, '(?s)^.*\\nassistant\\n', ''), '(?i)^The image \\w+ (?:an|a|the)? ?', '') AS t FROM conversations) SELECT conv_id, turn, sha256(upper(substr(t, 1, 1)) || substr(t, 2)) AS caption FROM t")
+_PREAMBLES = "CASE turn % 4 WHEN 0 THEN 'system' || chr(10) || 'assistant' || chr(10) || 'The image shows a ' WHEN 1 THEN 'the IMAGE depicts the' WHEN 2 THEN 'The image shows ' ELSE 'The image is an ' END || coalesce(text, '')"
+
+
+@query(f"WITH t AS (SELECT conv_id, turn, regexp_replace(regexp_replace({_PREAMBLES}, '(?s).*?\\nassistant\\n', '', 'g'), '(?i)^(The image{b.WHITE}+[\\p{{L}}\\p{{N}}_]+{b.WHITE}+(an|the|a){b.WHITE}?)', '') AS t FROM conversations) SELECT conv_id, turn, sha256(upper(substr(t, 1, 1)) || substr(t, 2)) AS caption FROM t")
 def clean_and_capitalize(spark, d):
     c = b.table(spark, d, "conversations")
-    return c.select("conv_id", "turn", F.sha2(tx.clean_and_capitalize(F.concat(F.lit("system\nassistant\nThe image shows a "), F.col("text"))), 256).alias("caption"))
+    head = F.element_at(F.array(F.lit("system\nassistant\nThe image shows a "), F.lit("the IMAGE depicts the"), F.lit("The image shows "), F.lit("The image is an ")), (F.col("turn") % 4 + 1).cast("int"))
+    return c.select("conv_id", "turn", F.sha2(tx.clean_and_capitalize(F.concat(head, F.coalesce("text", F.lit("")))), 256).alias("caption"))
 
 
-@query(f"WITH {b.SAMPLES_SQL} SELECT sb, idx, '{tx.PROMPT}' || substr('caption of order ' || sb || ' with some more words so that it is longer than the limit of characters', 1, 77) || CASE WHEN len(classes) > 0 THEN ' Classes: ' || array_to_string(classes, ', ') || '.' ELSE '' END AS prompt FROM s")
+@query(f"WITH {b.SAMPLES_SQL} SELECT sb, idx, '{tx.PROMPT} Alt-text: ' || substr('caption of order ' || sb || ' with some more words so that it is longer than the limit of characters', 1, 77) || '.' || CASE WHEN len(classes) > 0 THEN ' Classes: ' || array_to_string(classes, ', ') || '.' ELSE '' END AS prompt FROM s")
 def build_prompt(spark, d):
     caption = F.concat(F.lit("caption of order "), F.col("sb"), F.lit(" with some more words so that it is longer than the limit of characters"))
     return b.samples(spark, d).select("sb", "idx", tx.build_prompt(caption, F.col("classes")).alias("prompt"))
 
 
-@query(f"""WITH {b.ASCII_SQL} SELECT doc_id, array_to_string(list_slice(string_split(trim(regexp_replace(regexp_replace(lower(text), '[.!"()*#:;~]', ' ', 'g'), '\\s{{2,}}', ' ', 'g')), ' '), 1, 30), ' ') AS caption FROM d""")
+@query(f"""SELECT doc_id, array_to_string(list_slice(string_split(trim(rtrim(regexp_replace(regexp_replace(lower(text), '[.!"()*#:;~]', ' ', 'g'), '{b.WHITE}{{2,}}', ' ', 'g'), chr(10)), ' '), ' '), 1, 30), ' ') AS caption FROM documents""")
 def pre_caption(spark, d):
     return b.table(spark, d, "documents").select("doc_id", tx.pre_caption(F.col("text"), 30).alias("caption"))
 
 
-@query(f"""WITH {b.ASCII_SQL} SELECT doc_id, array_to_string(list_slice(string_split(rtrim(regexp_replace(lower(text), '[.!"()*#:;~]', '', 'g')), ' '), 1, 50), ' ') AS question FROM d""")
+@query("""SELECT doc_id, array_to_string(list_slice(string_split(rtrim(regexp_replace(lower(text), '[.!"()*#:;~]', '', 'g'), ' '), ' '), 1, 50), ' ') AS question FROM documents""")
 def pre_question(spark, d):
     return b.table(spark, d, "documents").select("doc_id", tx.pre_question(F.col("text")).alias("question"))
 
@@ -266,16 +291,26 @@ def pre_question(spark, d):
 _PUNCT = tx.ASCII_PUNCTUATION.replace("'", "''")
 
 
-@query(f"WITH {b.ASCII_SQL} SELECT doc_id, sha256(trim(regexp_replace(lower(regexp_replace(replace(text, '_', ' '), '{_PUNCT}', '', 'g')), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))) AS form FROM d")
+@query(f"SELECT doc_id, sha256({b.strip_sql(f"regexp_replace(lower(regexp_replace(replace(text, '_', ' '), '{_PUNCT}', '', 'g')), '{b.WHITE}+', ' ', 'g')")}) AS form FROM documents")
 def canonicalize_text(spark, d):
     return b.table(spark, d, "documents").select("doc_id", F.sha2(tx.canonicalize(F.col("text")), 256).alias("form"))
 
 
-@query(f"WITH {b.ASCII_SQL} SELECT doc_id, sha256(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))) AS form FROM d")
+@query(f"SELECT doc_id, sha256({b.strip_sql(f"regexp_replace(text, '{b.WHITE}+', ' ', 'g')")}) AS form FROM documents")
 def whitespace_clean(spark, d):
     return b.table(spark, d, "documents").select("doc_id", F.sha2(tx.whitespace_clean(F.col("text")), 256).alias("form"))
 
 
+@query()
+def basic_clean(spark, d):
+    return b.table(spark, d, "pages").select("page_id", F.sha2(tx.clean("lower")(F.col("html")), 256).alias("form"))
+
+
+@query("SELECT p_partkey, replace(replace(p_name, ' ', ','), ',', ' | ') AS tags FROM part")
+def tag_separators(spark, d):
+    return b.table(spark, d, "part").select("p_partkey", tx.tag_separators(F.replace("p_name", F.lit(" "), F.lit(","))).alias("tags"))
+
+
 @query("""WITH n AS (SELECT DISTINCT p_type, regexp_replace(lower(replace(replace(p_type, '_', ' '), '/', ' or ')), '\\.+$', '') AS name FROM part), t AS (SELECT * FROM (VALUES (0, 'a photo of {article} {name}.'), (1, 'itap of my {name}.'), (2, 'a close-up photo of the {name}.')) AS v(k, template))
 SELECT p_type, k, CASE WHEN starts_with(p, 'a') OR starts_with(p, 'the') THEN 'This is ' || p ELSE p END AS prompt FROM (SELECT p_type, k, replace(replace(template, '{article}', CASE WHEN substr(name, 1, 1) IN ('a', 'e', 'i', 'o', 'u') THEN 'an' ELSE 'a' END), '{name}', name) AS p FROM n, t)""")
 def prompt_templates(spark, d):
@@ -312,9 +347,8 @@ def box_overlap_filter(spark, d):
 
 @query(f"WITH {b.BOXES_SQL} SELECT image_id, count(*) AS n, count(DISTINCT label) AS labels, count(DISTINCT scale) AS scales FROM b WHERE score >= 0.26 GROUP BY 1")
 def box_collect(spark, d):
-    kept = b.boxes(spark, d).where("score >= 0.26").groupBy("image_id").agg(F.collect_list(F.struct("label", "scale")).alias("boxes"))
-    size = lambda c: F.size(F.array_distinct(F.col(c))).cast("long")
-    return kept.select("image_id", F.size("boxes").cast("long").alias("n"), size("boxes.label").alias("labels"), size("boxes.scale").alias("scales"))
+    kept = tagging.collected(b.boxes(spark, d).where("score >= 0.26"), "image_id")
+    return kept.select("image_id", *[F.size(c).cast("long").alias(n) for c, n in (("boxes", "n"), ("labels", "labels"), ("scales", "scales"))])
 
 
 @query()
@@ -327,155 +361,19 @@ def box_wbf(spark, d):
     return bx.fuse(b.boxes(spark, d))
 
 
-# Tags
-
-_PASS = "1 / (1 + exp(-logit)) > 0.65 + 0.002 * k"
-
-
-@query(f"WITH {b.LOGITS_SQL} SELECT vec_id, string_agg('tag' || k, ' | ' ORDER BY k) AS tags FROM g WHERE {_PASS} AND k <> 7 GROUP BY 1")
-def tag_threshold(spark, d):
-    kept = b.logits(spark, d).where((vec.sigmoid(F.col("logit")) > 0.65 + 0.002 * F.col("k")) & (F.col("k") != 7))
-    return kept.groupBy("vec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda k: F.concat(F.lit("tag"), k)), " | ").alias("tags"))
-
-
-@query(f"WITH {b.LOGITS_SQL}, n AS (SELECT vec_id, least(500, greatest(1, count(*) FILTER (WHERE 1 / (1 + exp(-logit)) > 0.95))) AS n FROM g GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, k) AS rk FROM g) SELECT vec_id, string_agg('tag' || k, ' ,' ORDER BY rk) || '.' AS caption FROM r JOIN n USING (vec_id) WHERE rk <= n GROUP BY 1")
-def tag_topk_caption(spark, d):
-    order = F.array_sort(F.collect_list(F.struct((-F.col("logit")).alias("n"), "k")))
-    all_ = b.logits(spark, d).groupBy("vec_id").agg(order.alias("o"), F.greatest(F.lit(1), F.count_if(vec.sigmoid(F.col("logit")) > 0.95)).cast("int").alias("n"))
-    return all_.select("vec_id", tx.ends_with_stop(F.array_join(F.transform(F.slice("o", F.lit(1), F.least("n", F.lit(500))), lambda x: F.concat(F.lit("tag"), x["k"])), " ,")).alias("caption"))
-
-
-@query(f"WITH {b.LOGITS_SQL}, m AS (SELECT *, max(logit) OVER w AS m FROM g WINDOW w AS (PARTITION BY vec_id, k % 8)), e AS (SELECT *, exp(logit - m) AS w FROM m) SELECT vec_id, k % 8 AS class_id, round(sum(w * logit) / sum(w), 5) AS pooled FROM e GROUP BY ALL")
-def softmax_pool(spark, d):
-    by = Window.partitionBy("vec_id", F.col("k") % 8)
-    e = b.logits(spark, d).withColumn("w", F.exp(F.col("logit") - F.max("logit").over(by)))
-    return e.groupBy("vec_id", (F.col("k") % 8).alias("class_id")).agg(_r(F.sum(F.col("w") * F.col("logit")) / F.sum("w"), 5).alias("pooled"))
-
-
-@query("SELECT doc_id, list_transform(range(4), lambda k: CASE WHEN k = doc_id % 4 OR k = doc_id % 3 THEN 1 ELSE 0 END) AS hot FROM documents")
-def multi_hot(spark, d):
-    ids = F.array((F.col("doc_id") % 4).cast("int"), (F.col("doc_id") % 3).cast("int"))
-    return b.table(spark, d, "documents").select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.array_contains(ids, k).cast("int")).alias("hot"))
-
-
-# Vectors, losses, metrics
-
-_VECS = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
-
-
-@query("WITH x AS (SELECT label, k, avg(CAST(embedding[k + 1] AS DOUBLE)) AS m FROM embeddings, range(64) AS r(k) GROUP BY ALL) SELECT label, CAST(k AS INT) AS dim, round(m, 6) AS mean FROM x")
-def label_centroids(spark, d):
-    each = b.table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("dim", "v"))
-    return each.groupBy("label", "dim").agg(_r(F.avg(F.col("v").cast("double"))).alias("mean"))
-
-
-def _exemplars(spark, d, n=60):
-    e = b.table(spark, d, "embeddings")
-    return e.where(F.col("vec_id") >= n), e.where(F.col("vec_id") < n).select(F.col("label").alias("kind"), F.col("embedding").alias("exemplar"))
-
-
-@query(f"WITH {_VECS}, m AS (SELECT q.vec_id, max(CASE WHEN x.label % 3 = 0 THEN s END) AS safe, max(CASE WHEN x.label % 3 = 1 THEN s END) AS race, max(CASE WHEN x.label % 3 = 2 THEN s END) AS nsfw FROM v q, v x, LATERAL (SELECT list_cosine_similarity(q.e, x.e) AS s) WHERE q.vec_id >= 60 AND x.vec_id < 60 GROUP BY 1) SELECT vec_id, round(safe, 5) AS max_safe, CASE WHEN race > 0.7 AND race > safe + 0.05 THEN 'UNSAFE_RACE' WHEN nsfw > 0.65 AND nsfw > safe + 0.05 THEN 'UNSAFE_NSFW' ELSE 'SAFE' END AS verdict FROM m")
-def safety_max_sim(spark, d):
-    q, x = _exemplars(spark, d)
-    return vocabulary.safety(q, x.withColumn("kind", F.element_at(F.array(F.lit("safe"), F.lit("race"), F.lit("nsfw")), (F.col("kind") % 3 + 1)))).select("vec_id", _r("safe", 5).alias("max_safe"), "verdict")
-
-
-@query(f"WITH {_VECS}, c AS (SELECT label AS c, k, avg(e[k + 1]) AS m FROM v, range(64) AS r(k) GROUP BY ALL), cc AS (SELECT c, list(m ORDER BY k) AS w FROM c GROUP BY c), s AS (SELECT vec_id, label, c, list_cosine_similarity(e, w) AS s FROM v, cc), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, c) AS rk FROM s) SELECT round(avg(CASE WHEN rk = 1 THEN 1.0 ELSE 0 END), 6) AS top1, round(avg(CASE WHEN rk <= 5 THEN 1.0 ELSE 0 END), 6) AS top5 FROM r WHERE c = label")
-def zero_shot_topk(spark, d):
-    e = b.table(spark, d, "embeddings")
-    mean = e.select(F.col("label").alias("c"), F.posexplode("embedding").alias("k", "v")).groupBy("c", "k").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    w = mean.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]).alias("w"))
-    s = e.crossJoin(F.broadcast(w)).withColumn("s", vec.cosine(F.col("embedding"), F.col("w")))
-    ranked = s.withColumn("rk", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.col("s").desc(), "c"))).where("c = label")
-    return ranked.agg(_r(F.avg((F.col("rk") == 1).cast("double"))).alias("top1"), _r(F.avg((F.col("rk") <= 5).cast("double"))).alias("top5"))
-
-
-_PAIRS = f"{_VECS}, i AS (SELECT vec_id // 2 AS id, e FROM v WHERE vec_id % 2 = 0), x AS (SELECT vec_id // 2 AS id, e FROM v WHERE vec_id % 2 = 1), p AS (SELECT i.id AS a, x.id AS b, list_dot_product(i.e, x.e) AS s FROM i, x)"
-
-
-def _pairs(spark, d):
-    e = b.table(spark, d, "embeddings")
-    i = e.where("vec_id % 2 = 0").select(F.expr("vec_id div 2").alias("a"), F.col("embedding").alias("ea"))
-    x = e.where("vec_id % 2 = 1").select(F.expr("vec_id div 2").alias("b"), F.col("embedding").alias("eb"))
-    return i.crossJoin(x).select("a", "b", vec.dot(F.col("ea"), F.col("eb")).alias("s"))
-
-
-@query(f"WITH {_PAIRS}, t AS (SELECT a, s AS own FROM p WHERE a = b), r AS (SELECT p.a, count(*) FILTER (WHERE p.s > own) AS rk FROM p JOIN t USING (a) GROUP BY 1) SELECT round(avg(rk) + 1, 6) AS mean_rank, floor(median(rk)) + 1 AS median_rank, round(avg(CASE WHEN rk < 1 THEN 1.0 ELSE 0 END), 6) AS r1, round(avg(CASE WHEN rk < 10 THEN 1.0 ELSE 0 END), 6) AS r10 FROM r")
-def retrieval_recall(spark, d):
-    p = _pairs(spark, d)
-    ranks = p.withColumn("own", F.max(F.when(F.col("a") == F.col("b"), F.col("s"))).over(Window.partitionBy("a"))).where("own IS NOT NULL").groupBy("a").agg(F.count_if(F.col("s") > F.col("own")).alias("rk"))
-    return ranks.agg(_r(F.avg("rk") + 1).alias("mean_rank"), (F.floor(F.percentile("rk", F.lit(0.5))) + 1).cast("double").alias("median_rank"), _r(F.avg((F.col("rk") < 1).cast("double"))).alias("r1"), _r(F.avg((F.col("rk") < 10).cast("double"))).alias("r10"))
-
-
-@query(f"WITH {b.LOGITS_SQL}, o AS (SELECT k, CASE WHEN label = k % 10 THEN 1 ELSE 0 END AS hit, row_number() OVER w AS pos, sum(CASE WHEN label = k % 10 THEN 1 ELSE 0 END) OVER w AS cum FROM g WINDOW w AS (PARTITION BY k ORDER BY logit DESC, vec_id ROWS UNBOUNDED PRECEDING)), a AS (SELECT k, sum(hit * cum / pos) / (sum(hit) + 1e-8) AS ap FROM o GROUP BY k) SELECT round(avg(ap), 6) AS mean_ap FROM a")
-def mean_ap(spark, d):
-    w = Window.partitionBy("k").orderBy(F.col("logit").desc(), "vec_id")
-    hit = (F.col("label") == F.col("k") % 10).cast("int")
-    o = b.logits(spark, d).select("k", hit.alias("hit"), F.row_number().over(w).alias("pos"), F.sum(hit).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"))
-    ap = o.groupBy("k").agg((F.sum(F.col("hit") * F.col("cum") / F.col("pos")) / (F.sum("hit") + 1e-8)).alias("ap"))
-    return ap.agg(_r(F.avg("ap")).alias("mean_ap"))
-
-
-@query(f"WITH {b.LOGITS_SQL}, c AS (SELECT k, sum(CASE WHEN {_PASS} AND label = k % 10 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN {_PASS} AND label <> k % 10 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN NOT ({_PASS}) AND label = k % 10 THEN 1 ELSE 0 END) AS fn FROM g GROUP BY k) SELECT k, round(tp / (tp + fp + 1e-9), 6) AS precision, round(tp / (tp + fn + 1e-9), 6) AS recall FROM c")
-def precision_recall(spark, d):
-    said, true = vec.sigmoid(F.col("logit")) > 0.65 + 0.002 * F.col("k"), F.col("label") == F.col("k") % 10
-    c = b.logits(spark, d).groupBy("k").agg(F.count_if(said & true).alias("tp"), F.count_if(said & ~true).alias("fp"), F.count_if(~said & true).alias("fn"))
-    return c.select("k", _r(F.col("tp") / (F.col("tp") + F.col("fp") + 1e-9)).alias("precision"), _r(F.col("tp") / (F.col("tp") + F.col("fn") + 1e-9)).alias("recall"))
-
-
-@query(f"WITH {_PAIRS}, l AS (SELECT a, b, 10 * s AS l FROM p), n AS (SELECT a, b, l, ln(sum(exp(l)) OVER (PARTITION BY a)) AS ra, ln(sum(exp(l)) OVER (PARTITION BY b)) AS rb FROM l) SELECT round(avg(((ra - l) + (rb - l)) / 2), 5) AS loss FROM n WHERE a = b")
-def contrastive_loss(spark, d):
-    n = _pairs(spark, d).withColumn("l", 10 * F.col("s"))
-    n = n.withColumn("ra", F.log(F.sum(F.exp("l")).over(Window.partitionBy("a")))).withColumn("rb", F.log(F.sum(F.exp("l")).over(Window.partitionBy("b"))))
-    return n.where("a = b").agg(_r(F.avg((F.col("ra") - F.col("l") + F.col("rb") - F.col("l")) / 2), 5).alias("loss"))
-
-
-@query(f"WITH {_PAIRS}, l AS (SELECT a, b, (10 * s - 10) * CASE WHEN a = b THEN -1 ELSE 1 END AS z FROM p) SELECT round(sum(greatest(z, 0) + ln(1 + exp(-abs(z)))) / count(DISTINCT a), 5) AS loss FROM l")
-def sigmoid_loss(spark, d):
-    z = (10 * F.col("s") - 10) * F.when(F.col("a") == F.col("b"), -1).otherwise(1)
-    return _pairs(spark, d).agg(_r(F.sum(vec.softplus(z)) / F.countDistinct("a"), 5).alias("loss"))
-
-
-@query(f"WITH {b.LOGITS_SQL}, p AS (SELECT CASE WHEN label = k % 10 THEN 1 ELSE 0 END AS y, 1 / (1 + exp(-logit)) AS p FROM g), q AS (SELECT y, p, least(1 - p + 0.05, 1) AS n FROM p) SELECT round(-sum(CASE WHEN y = 1 THEN ln(greatest(p, 1e-8)) * pow(1 - p, 1) ELSE ln(greatest(n, 1e-8)) * pow(1 - n, 4) END), 3) AS loss FROM q")
-def asymmetric_loss(spark, d):
-    p = vec.sigmoid(F.col("logit"))
-    n = F.least(1 - p + 0.05, F.lit(1.0))
-    one = F.when(F.col("label") == F.col("k") % 10, F.log(F.greatest(p, F.lit(1e-8))) * (1 - p)).otherwise(F.log(F.greatest(n, F.lit(1e-8))) * F.pow(1 - n, F.lit(4)))
-    return b.logits(spark, d).agg(_r(-F.sum(one), 3).alias("loss"))
-
-
-@query(f"WITH {b.LOGITS_SQL}, z AS (SELECT vec_id, k, logit AS t, logit / 2 AS s FROM g), m AS (SELECT *, exp(t) / sum(exp(t)) OVER w AS pt, s - ln(sum(exp(s)) OVER w) AS ls FROM z WINDOW w AS (PARTITION BY vec_id)) SELECT round(-sum(pt * ls) / count(DISTINCT vec_id), 5) AS loss FROM m")
-def distill_loss(spark, d):
-    w = Window.partitionBy("vec_id")
-    m = b.logits(spark, d).select("vec_id", (F.exp("logit") / F.sum(F.exp("logit")).over(w)).alias("pt"), (F.col("logit") / 2 - F.log(F.sum(F.exp(F.col("logit") / 2)).over(w))).alias("ls"))
-    return m.agg(_r(-F.sum(F.col("pt") * F.col("ls")) / F.countDistinct("vec_id"), 5).alias("loss"))
-
-
-@query("SELECT event_id, event_type, round(sum(value * user_id) OVER w / sum(user_id) OVER w, 4) AS avg FROM events WHERE user_id > 0 WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
-def running_average(spark, d):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return b.table(spark, d, "events").where("user_id > 0").select("event_id", "event_type", _r(F.sum(F.col("value") * F.col("user_id")).over(w) / F.sum("user_id").over(w), 4).alias("avg"))
-
-
-@query("SELECT event_type, round(sum(value * user_id) / sum(user_id), 5) AS loss FROM events GROUP BY 1")
-def weighted_val_loss(spark, d):
-    return b.table(spark, d, "events").groupBy("event_type").agg(_r(F.sum(F.col("value") * F.col("user_id")) / F.sum("user_id"), 5).alias("loss"))
-
-
-@query("SELECT s AS step, round(CASE WHEN s < 100 THEN 5e-4 * (s + 1) / 100 ELSE 0.5 * (1 + cos(pi() * (s - 100) / 900.0)) * 5e-4 END, 9) AS cosine, round(CASE WHEN s < 100 THEN 5e-4 * (s + 1) / 100 ELSE 5e-4 END, 9) AS constant FROM range(1000) AS r(s)")
-def lr_schedule(spark, d):
-    s, base = F.col("id"), 5e-4
-    warm = base * (s + 1) / 100
-    return spark.range(1000).select(s.alias("step"), _r(F.when(s < 100, warm).otherwise(0.5 * (1 + F.cos(F.pi() * (s - 100) / 900.0)) * base), 9).alias("cosine"), _r(F.when(s < 100, warm).otherwise(base), 9).alias("constant"))
+@query()
+def box_ensemble(spark, d):
+    """Boxes of each scale suppressed, fused over the scales, and filtered across labels."""
+    return bx.ensemble(b.boxes(spark, d))
 
 
 # Vocabulary and caption checks
 
 
-@query("SELECT DISTINCT p_name AS concept, lower(replace(p_name, '_', ' ')) AS key, regexp_replace(lower(replace(p_name, '_', ' ')), '[\\s-]', '', 'g') AS spacing FROM part")
+@query(f"SELECT DISTINCT p_name AS concept, lower(replace(p_name, '_', ' ')) AS key, regexp_replace({b.strip_sql("p_name || '  x '")}, '{b.WHITE}+', ' ', 'g') AS spacing, array_to_string(list_transform(string_split(p_name || 's', ' '), lambda w: {b.singular_sql('w')}), ' ') AS lemma FROM part")
 def vocab_normalize(spark, d):
     c = F.col("p_name")
-    return b.table(spark, d, "part").select(c.alias("concept"), vocabulary.normal_key(c).alias("key"), vocabulary.without_spacing(c).alias("spacing")).distinct()
+    return b.table(spark, d, "part").select(c.alias("concept"), vocabulary.normal_key(c).alias("key"), vocabulary.single_spaced(F.concat(c, F.lit("  x "))).alias("spacing"), vocabulary.morphological(F.concat(c, F.lit("s"))).alias("lemma")).distinct()
 
 
 @query("SELECT DISTINCT p_name AS concept, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda x: substr(x, 1, 1)), '') AS initials FROM part")
@@ -487,40 +385,75 @@ def _concepts(spark, d):
     return b.table(spark, d, "part").groupBy(F.col("p_name").alias("concept")).agg(F.min("p_partkey").alias("ord"))
 
 
+def variants_planted(spark, d):
+    """The part names as a vocabulary, each followed by spellings of it: upper case, underscores, wide spaces, plural, a letter doubled, and its initials. (ord, concept, value)"""
+    c = F.col("concept")
+    forms = F.array(c, F.upper(c), F.replace(c, F.lit(" "), F.lit("_")), F.concat(F.lit(" "), F.replace(c, F.lit(" "), F.lit("  "))), F.concat(c, F.lit("s")), F.concat(c, F.substring(c, -1, 1)), vocabulary.initials(c))
+    each = _concepts(spark, d).select("ord", F.posexplode(forms).alias("k", "concept"))
+    return each.select((F.col("k") * 1_000_000 + F.col("ord")).alias("ord"), "concept", F.col("k").cast("string").alias("value"))
+
+
 @query()
 def vocab_variants(spark, d):
-    return vocabulary.variant_pairs(_concepts(spark, d))
+    return vocabulary.variant_pairs(variants_planted(spark, d))
 
 
 @query()
 def vocab_leader_merge(spark, d):
-    c = _concepts(spark, d)
+    c = variants_planted(spark, d)
     return vocabulary.leaders(c, vocabulary.variant_pairs(c))
 
 
-_FORMS = "list_sort(list_distinct([w, w || 'ing', CASE WHEN w LIKE '%e' THEN regexp_replace(w, 'e$', 'ing') ELSE w || 'ing' END, CASE WHEN w LIKE '%y' THEN regexp_replace(w, 'y$', 'ies') WHEN regexp_matches(w, '(s|sh|ch|x|z)$') THEN w || 'es' ELSE w || 's' END]))"
+@query()
+def vocab_cleanup(spark, d):
+    return vocabulary.clean_concepts(variants_planted(spark, d))[0]
+
+
+@query()
+def vocab_cleanup_counters(spark, d):
+    return vocabulary.clean_concepts(variants_planted(spark, d))[1]
 
 
-@query(f"SELECT w, {_FORMS} AS forms FROM (SELECT DISTINCT replace(lower(unnest(string_split(p_name, ' '))), '-', ' ') AS w FROM part)")
+@query(f"SELECT w, {b.forms_sql('w')} AS forms FROM (SELECT DISTINCT replace(lower(unnest(string_split(p_name, ' '))), '-', ' ') AS w FROM part)")
 def word_forms(spark, d):
     words = b.table(spark, d, "part").select(F.explode(F.split(F.replace(F.lower("p_name"), F.lit("-"), F.lit(" ")), " ")).alias("w")).distinct()
     return words.select("w", tx.word_forms(F.col("w")).alias("forms"))
 
 
-_QA = f"WITH {b.ASCII_SQL}, c AS (SELECT DISTINCT lower(unnest(string_split(substr(text, 1, 60), ' '))) AS class FROM benchmark), cc AS (SELECT class FROM c WHERE regexp_full_match(class, '[a-z]{{4,}}') ORDER BY class LIMIT 20), f AS (SELECT class, {_FORMS.replace('w', 'class').replace('classhen', 'when')} AS forms FROM cc), n AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g') AS t FROM d), q AS (SELECT doc_id, class, len(list_filter(forms, lambda x: contains(t, x))) > 0 AS found FROM n, f)"
+_QA = f"""WITH {b.CAPTIONS_SQL}, n AS (SELECT doc_id, classes, regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_{b.WHITE[1:-1]}-]', '', 'g'), '{b.WHITE}+-{b.WHITE}+', ' ', 'g') AS t FROM cap),
+w AS (SELECT DISTINCT doc_id, replace(unnest(string_split(regexp_replace(t, '{b.WHITE}+', ' ', 'g'), ' ')), '-', ' ') AS w FROM n), v AS (SELECT w, {b.forms_sql('w')} AS forms FROM (SELECT DISTINCT w FROM w WHERE w <> '')), said AS (SELECT DISTINCT doc_id, unnest(forms) AS form FROM w JOIN v USING (w)),
+k AS (SELECT doc_id, t, unnest(range(len(classes))) AS idx, unnest(classes) AS class FROM n), g AS (SELECT class, unnest({b.forms_sql('class')}) AS form FROM (SELECT DISTINCT class FROM k)),
+q AS (SELECT k.doc_id, idx, class, bool_or(contains(t, g.form) OR said.form IS NOT NULL) AS found FROM k JOIN g USING (class) LEFT JOIN said ON said.doc_id = k.doc_id AND said.form = g.form GROUP BY ALL)"""
 
 
-def _qa(spark, d):
-    words = b.table(spark, d, "benchmark").select(F.explode(F.split(caption_qa.normalised(F.col("text")), " +")).alias("class")).distinct()
-    classes = words.where(F.col("class").rlike(r"^[\p{L}\p{M}]{4,}$"))
-    return caption_qa.check(b.table(spark, d, "documents"), classes)
-
-
-@query(_QA.replace("CASE WHEN class LIKE", "CASE WHEN class LIKE") + " SELECT doc_id, class, found FROM q")
+@query(_QA + " SELECT doc_id, CAST(idx AS INT) AS idx, class, found FROM q")
 def class_in_caption_vanilla(spark, d):
-    return _qa(spark, d).select("doc_id", "class", "found")
+    return caption_qa.details(caption_qa.check(b.captions(spark, d))).select("doc_id", "idx", "class", "found")
 
 
-@query(_QA + " SELECT count(DISTINCT doc_id) AS images, count(*) AS instances, count(*) FILTER (WHERE NOT found) AS missing, round(100.0 * count(*) FILTER (WHERE found) / count(*), 6) AS success FROM q")
+@query(_QA + ", r AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE NOT found) AS lost FROM q GROUP BY 1) SELECT (SELECT count(*) FROM n) AS images, CAST(sum(n) AS BIGINT) AS instances, CAST(sum(lost) AS BIGINT) AS missing, count(*) FILTER (WHERE lost > 0) AS images_with_miss, round(100.0 * (sum(n) - sum(lost)) / sum(n), 6) AS success FROM r")
 def caption_qa_summary(spark, d):
-    return caption_qa.summary(_qa(spark, d))
+    return caption_qa.summary(caption_qa.check(b.captions(spark, d)))
+
+
+def synonyms_of(word: str) -> tuple[str, ...]:
+    """Stands for a dictionary in the queries: a word's synonym is its reverse."""
+    return (word[::-1],)
+
+
+@query()
+def class_in_caption_synonyms(spark, d):
+    return caption_qa.details(caption_qa.check(b.captions(spark, d), "synonyms", language=caption_qa.Language(synonyms=synonyms_of))).select("doc_id", "idx", "class", "found")
+
+
+@query()
+def class_in_caption_full(spark, d):
+    return caption_qa.details(caption_qa.check(b.captions(spark, d), "full", language=caption_qa.Language(synonyms=synonyms_of))).select("doc_id", "idx", "class", "found", "form", "word", F.round("score", 6).alias("score"))
+
+
+@query()
+def caption_strategy_rates(spark, d):
+    return caption_qa.strategy_rates(b.captions(spark, d))
+
+
+from tessera.plans import evaluation  # noqa: E402, F401  (registers its queries)

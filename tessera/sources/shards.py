@@ -5,11 +5,13 @@ from __future__ import annotations
 import io
 import re
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 IMAGES = ("png", "jpg", "jpeg", "webp")
 METADATA = "caption string, recap string, classes array<string>, bounding_boxes array<array<double>>, scores array<double>, tags string, tag_probs array<float>"
@@ -54,18 +56,58 @@ def with_sizes(shards: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def resample(shards: DataFrame, draws: DataFrame) -> DataFrame:
-    """A shard for each draw u in [0, 1), by weight: the running weights are a range lookup on one array (a row for each shard)."""
-    w = Window.orderBy("shard_no").rowsBetween(Window.unboundedPreceding, 0)
-    table = shards.withColumn("high", F.sum("weight").over(w)).agg(F.array_sort(F.collect_list(F.struct("high", "url"))).alias("t"))
-    d = draws.crossJoin(F.broadcast(table))
-    at = F.col("u") * F.element_at("t", -1)["high"]
-    return d.select(*draws.columns, F.filter("t", lambda x: x["high"] > at)[0]["url"].alias("url"))
+    """A shard for each draw u in [0, 1), by weight. The shards, a list that the driver made, are held by every task and searched by halving."""
+    listed = shards.orderBy("shard_no").select("url", "weight").collect()
+    high, urls = np.cumsum([r["weight"] for r in listed]), np.array([r["url"] for r in listed], object)
+
+    @F.pandas_udf(T.StringType())
+    def pick(u: pd.Series) -> pd.Series:
+        return pd.Series(urls[np.minimum(np.searchsorted(high, u.to_numpy() * high[-1], side="right"), len(urls) - 1)])
+
+    return draws.withColumn("url", pick("u"))
 
 
 def usable(members: str, text: str) -> Column:
     return F.map_contains_key(members, text) & F.arrays_overlap(F.map_keys(members), F.array(*[F.lit(x) for x in IMAGES]))
 
 
+def is_image(name: Column, extensions: tuple[str, ...] = ("png", "jpg", "jpeg")) -> Column:
+    """Whether a name ends in one of the extensions, in any case."""
+    return F.lower(name).rlike(rf"\.({'|'.join(re.escape(x.lower()) for x in extensions)})$")
+
+
+def first_present(members: str, names: tuple[str, ...] = ("jpg", "png", "jpeg", "webp")) -> Column:
+    """The first member that is there."""
+    return F.coalesce(*[F.try_element_at(members, F.lit(n)) for n in names])
+
+
+def complete(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows none of whose columns (all, if none is named) failed, that is, is null."""
+    return rows.dropna(subset=list(columns) or None)
+
+
+def map_columns(rows: DataFrame, **changes: Callable[[Column], Column]) -> DataFrame:
+    """Each named column by its function (of Column expressions or pandas UDFs)."""
+    return rows.withColumns({c: f(F.col(c)) for c, f in changes.items()})
+
+
+def overlay(base: Column, over: Column) -> Column:
+    """The base map with the values that `over` has for its keys; keys that base doesn't know and nulls are left out of the overlay."""
+    return F.transform_values(base, lambda k, v: F.coalesce(F.try_element_at(over, k), v))
+
+
+def with_sidecar(images: DataFrame, texts: DataFrame, name: str = "name", json: str = "json", keep: bool = False) -> DataFrame:
+    """images with the JSON text of the same name but for the ending; without one they are dropped, or kept with "{}"."""
+    own = texts.select(F.col(name).alias("_side"), F.col(json).alias("_json"))
+    joined = images.join(own, sidecar(F.col(name)) == F.col("_side"), "left" if keep else "inner")
+    return joined.select(*images.columns, F.coalesce("_json", F.lit("{}")).alias(json) if keep else F.col("_json").alias(json))
+
+
+def with_list(rows: DataFrame, key: str, separator: str = " | ") -> DataFrame:
+    """rows whose text column `key` becomes the array of its parts."""
+    return rows.withColumn(key, F.split(key, re.escape(separator)))
+
+
 def metadata(rows: DataFrame, json: str, text: str = "recap") -> DataFrame:
     """rows with text ("" where absent or malformed) and classes (empty where absent) from a JSON column."""
     m = F.from_json(json, METADATA)

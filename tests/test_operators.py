@@ -1,14 +1,15 @@
 import difflib
 import hashlib
 import io
+import itertools
 import random
 import re
 import string
 import tarfile
-import unicodedata
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions import boxes, text
 from tessera.operators import caption_qa, curation, vocabulary
@@ -59,37 +60,75 @@ def test_concept_neighbours_of_every_super_batch(spark, sf):
     assert {tuple(r) for r in curation.concept_neighbours(own).collect()} == {(7, 0, 1), (7, 1, 1), (7, 2, 2)}
 
 
-def brute_check(captions, classes):
-    """vanilla by plain substrings of the whole text."""
-    out = set()
-    for i, c in captions:
-        t = "".join(x if x == " " or unicodedata.category(x)[0] in "LMN" else " " for x in (c or "").lower())
-        for w in classes:
-            w0 = w.lower().replace("-", " ")
-            forms = {w0, w0 + "ing", w0[:-1] + "ing" if w0.endswith("e") else w0, w0[:-1] + "ies" if w0.endswith("y") else w0 + "es" if w0.endswith(("s", "sh", "ch", "x", "z")) else w0 + "s"}
-            out.add((i, w, any(f in t for f in forms)))
+def brute_check(caption, classes, strategy="vanilla", threshold=0.85, synonyms=lambda w: ()):
+    """[(class, found, score)] by loops over all forms and words."""
+
+    def forms(word):
+        word = word.replace("-", " ").lower()
+        bases = {word, text.lower_singular(word)}
+        if strategy != "vanilla":
+            bases |= {s for w in bases | set(word.split()) for s in synonyms(w)}
+        out = set(bases)
+        for w in bases:
+            out |= {w + "ing", w[:-1] + "ing" if w.endswith("e") else w, w[:-1] + "ies" if w.endswith("y") else w + "es" if w.endswith(("s", "sh", "ch", "x", "z")) else w + "s"}
+        return out
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = list(itertools.accumulate(enumerate(b), lambda last, jy: min(last + 1, row[jy[0] + 1] + 1, row[jy[0]] + (x != jy[1])), initial=i))
+        return row[-1]
+
+    t = re.sub(r"\s+-\s+", " ", re.sub(r"[^\w\s-]", "", (caption or "").lower()))
+    said = set().union(*map(forms, t.split())) if t.split() else set()
+    out = []
+    for c in classes:
+        own, score = forms(c.replace("-", " ")), 0.0
+        if any(f in t or f in said for f in own):
+            score = 1.0
+        elif strategy == "full":
+            best = max((1 - distance(f, w) / max(len(f), len(w)) for f in own for w in t.split()), default=0.0)
+            score = best if best >= threshold else 0.0
+        out.append((c.replace("-", " "), score > 0, round(score, 6)))
     return out
 
 
-def test_captions_are_checked_for_every_class(spark, sf):
-    captions = [(1, "Les Étés: baking CITIES; a fire-truck, a fire  truck"), (2, None), (3, ""), (4, "préfères-tu señoras"), (5, "x" * 300 + "bakery" + "y" * 300)]
-    classes = ["étés", "bake", "city", "fire-truck", "ox", "préfère", "señora", "bakery", "straße", "señ"]
-    d, c = spark.createDataFrame(captions, "doc_id long, text string"), spark.createDataFrame([(x,) for x in classes], "class string")
-    want = brute_check(captions, classes)
-    assert {tuple(r) for r in caption_qa.check(d, c).collect()} == want
-    assert caption_qa.check(d, c.where("false")).count() == 0
-
-    texts = [(r.doc_id, r.text) for r in bindings.table(spark, sf, "documents").collect()]
-    words = set()
-    for r in bindings.table(spark, sf, "benchmark").collect():
-        words |= set("".join(x if unicodedata.category(x)[0] in "LMN" else " " for x in (r.text or "").lower()).split())
-    words = {w for w in words if len(w) >= 4 and all(unicodedata.category(x)[0] in "LM" for x in w)}
-    assert len(words) > 600 and any(not w.isascii() for w in words)
-    want = brute_check(texts, words)
-    assert {tuple(r) for r in registry.QUERIES["class_in_caption_vanilla"](spark, sf).collect()} == want
-    [s] = registry.QUERIES["caption_qa_summary"](spark, sf).collect()
-    hits = sum(f for _, _, f in want)
-    assert (s.images, s.instances, s.missing, s.success) == (len(texts), len(want), len(want) - hits, round(100 * hits / len(want), 6))
+def test_captions_are_checked_for_their_classes(spark, sf):
+    said = [("a dog don't run - fast", ["dogs", "dont", "don't", "run fast", "cats"]), ("Les Étés: baking CITIES; a fire-truck", ["étés", "bake", "city", "fire-truck", "ox"]), (None, ["a"]), ("", []), ("x", None)]
+    said += [("photographic eqipment, hair dryers and worthles churhces", ["equipments", "photography", "hair drier", "worthless", "church", "hcruhc"]), ("a cat and categories", ["cat", "category", "kitten"])]
+    d = spark.createDataFrame([(k, *r) for k, r in enumerate(said)], "doc_id long, text string, classes array<string>")
+    assert caption_qa.forms_of("dogs", caption_qa.Language(), False) >= {"dogs", "dog", "dogging"[:3] + "ing"}
+    for strategy in caption_qa.STRATEGIES:
+        language = caption_qa.Language(synonyms=lambda w: ("cat",) if w == "kitten" else (w[::-1],))
+        got = {r.doc_id: r for r in caption_qa.check(d, strategy, language=language).collect()}
+        for k, (caption, classes) in enumerate(said):
+            want = brute_check(caption, classes or [], strategy, synonyms=language.synonyms)
+            assert [(x["class"], x.found, round(x.score, 6)) for x in got[k].details] == want, (strategy, k)
+            assert got[k].all_found == all(f for _, f, _ in want)
+    assert caption_qa.check(d.limit(0)).count() == 0
+    [s] = caption_qa.summary(caption_qa.check(d)).collect()
+    flat = [f for c, cl in said for _, f, _ in brute_check(c, cl or [])]
+    assert (s.images, s.instances, s.missing) == (len(said), len(flat), flat.count(False)) and s.success == round(100 * flat.count(True) / len(flat), 6)
+    [s] = caption_qa.summary(caption_qa.check(d.limit(0))).collect()
+    assert (s.images, s.instances, s.missing, s.images_with_miss, s.success) == (0, 0, 0, 0, 0.0)
+    rates = {r.strategy: (r.images, r.rate) for r in caption_qa.strategy_rates(d).collect()}
+    assert set(rates) == set(caption_qa.STRATEGIES) and {n for n, _ in rates.values()} == {len(said)}
+
+    rows_ = [(r.doc_id, r.text, r.classes) for r in bindings.captions(spark, sf).collect()]
+    got = {(r.doc_id, r.idx): (r["class"], r.found, r.score) for r in registry.QUERIES["class_in_caption_full"](spark, sf).collect()}
+    for i, caption, classes in rows_[:3]:
+        for k, want in enumerate(brute_check(caption, classes, "full", synonyms=registry.synonyms_of)):
+            assert got[i, k] == want
+    assert len(got) == sum(len(c) for _, _, c in rows_)
+
+
+def test_caption_normalisation(spark):
+    d = spark.createDataFrame([("Don't stop - a hot-dog, été_1!",)], "t string")
+    row = d.select(caption_qa.normalised(F.col("t")).alias("n"), vocabulary.single_spaced(F.lit(" hot-dog\t\n x\u00a0")).alias("s"), vocabulary.morphological(F.lit("red  buses boxes ladies glass gases bus")).alias("m")).first()
+    assert row.n == "dont stop a hot-dog été_1" and row.s == "hot-dog x" and row.m == "red bus box lady glass gas bus"
+    words = ["buses", "boxes", "ladies", "glass", "gases", "dogs", "ties", "is", "us", "été", "étés", "s", "churches", "hot dogs"]
+    w = spark.createDataFrame([(x,) for x in words], "w string")
+    assert [r[0] for r in w.select(text.singular(F.col("w"))).collect()] == [text.lower_singular(x) for x in words]
 
 
 def plain_trim(t):
@@ -100,8 +139,8 @@ def plain_trim(t):
 
 def plain_space(t):
     t = re.sub(text.EMOJI, "", t or "").replace("  ", " ")
-    t = re.sub(r"\s+([.,;:!?])", r"\1", t)
-    return re.sub(r"([.,;:!?])([^\s.,;:!?])", r"\1 \2", t).strip()
+    t = re.sub(rf"\s+([{text.MARKS}])", r"\1", t)
+    return re.sub(rf"([{text.MARKS}])([^\s{text.MARKS}])", r"\1 \2", t).strip()
 
 
 def plain_caption(t):
@@ -131,11 +170,17 @@ def test_text_queries_take_all_documents(spark, sf, tmp_path):
 
 
 def test_text_quirks(spark):
-    from pyspark.sql import functions as F
-
     d = spark.createDataFrame([("The image shows apples. One. Two",)], "t string")
-    row = d.select(text.clean_and_capitalize(F.col("t")).alias("c"), text.trim_caption(F.col("t")).alias("t"), text.preprocess_caption(F.lit("a ,,b 3.5!! é")).alias("p")).first()
-    assert row.c.startswith("Pples") and row.t == "The image shows apples. One." and row.p == "a, b 3. 5! é"
+    row = d.select(text.clean_and_capitalize(F.col("t")).alias("c"), text.trim_caption(F.col("t")).alias("t"), text.preprocess_caption(F.lit("a ,,b 3.5!! é (x)) 🤖-y 中")).alias("p")).first()
+    assert row.c.startswith("Pples") and row.t == "The image shows apples. One." and row.p == "a, b 3. 5! é( x)- y"
+    people, both, prompt = d.select(
+        text.clean_and_capitalize(F.lit("The image shows people")), text.clean_and_capitalize(F.lit("a\nassistant\nb\nassistant\nthe image\u00a0is an x\n")), text.build_prompt(F.lit("c" * 90), F.array(F.lit("a"), F.lit("b")))
+    ).first()
+    assert people == "The image shows people" and both == "X\n" and prompt == f"{text.PROMPT} Alt-text: {'c' * 77}. Classes: a, b."
+    trimmed, cleaned = d.select(text.trim_caption(F.lit("One.\n")), text.clean("lower")(F.lit(" A &amp;amp; B\u00a0\n c "))).first()
+    assert trimmed == "One." and cleaned == "a & b c"
+    with pytest.raises(ValueError):
+        text.clean("none")
 
 
 def test_suppression_and_fusion(spark):
@@ -171,7 +216,7 @@ def test_spelling_variants_equal_all_pairs(spark, sf):
     assert {(p.earlier, p.later) for p in vocabulary.variant_pairs(made).where("kind = 'spelling'").collect()} == want
 
     # the queries, and leaders one by one over their pairs
-    parts = [(c.ord, c.concept) for c in bindings.table(spark, sf, "part").groupBy("p_name").agg({"p_partkey": "min"}).toDF("concept", "ord").collect()]
+    parts = [(c.ord, c.concept) for c in registry.variants_planted(spark, sf).collect()]
     pairs = {(p.earlier, p.later) for p in registry.QUERIES["vocab_variants"](spark, sf).collect()}
     assert {(p.earlier, p.later) for p in registry.QUERIES["vocab_variants"](spark, sf).where("kind = 'spelling'").collect()} == brute(parts)
     kept, leader = [], {}
