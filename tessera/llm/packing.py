@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import tokens
-from tessera.llm.common import chunks, hashed_rank, read, written
+from tessera.llm.common import chunks, give_back, hashed_rank, read, written
 
 CAPACITY = 1024
+#: Text of about this many bytes is encoded at once.
+CHUNK = 4_000_000
 SLOTS = "length int, low long, high long, first_sequence long, offset int"
 
 
@@ -75,7 +77,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens.encoder(vocabulary)
-        for batch in (part for whole in batches for part in chunks(whole, 1)):
+        for batch in (part for whole in batches for part in chunks(whole, 1, CHUNK)):
             offsets, ids = coder.encode(batch.column(1))
             flat = np.insert(ids, offsets[1:], np.uint32(end)).astype("<u4")
             size = np.diff(offsets) + 1
@@ -87,6 +89,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity
             data = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(flat)])
             columns = [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length.astype(np.int32)), pa.array(size[doc]), data]
             yield pa.RecordBatch.from_arrays(columns, ["id", "start", "length", "doc_tokens", "ids"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(cut, "id long, start long, length int, doc_tokens long, ids binary")
 
@@ -130,7 +133,11 @@ def sequences(placed: DataFrame, capacity: int = CAPACITY, pad: int = 0) -> Data
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 0, vocabulary: str | None = None) -> DataFrame:
-    """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    Null texts count as empty (one piece that holds `end`); null ids stay null; rows that share an id or are repeated in full are documents of their own. Reads id_col and text alone, so
+    other columns don't matter. An empty table gives no rows.
+    """
     pieced = written(pieces(docs, id_col, text, capacity, end, vocabulary), "pieces").withColumn("ids_crc32", F.crc32("ids"))
     return place(pieced, ["id", "start", "length", "ids_crc32", "doc_tokens"], capacity)
 

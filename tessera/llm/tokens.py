@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces that a worker remembers; beyond that it starts anew.
-MEMO = 700_000
+MEMO = 400_000
 #: New words that are encoded as one text; the bytes of its ids tell where each word's end.
 JOINED = 2_000
 _CLOSING = ".,;:!?*$%&|#\"()"
