@@ -6,7 +6,6 @@ import json
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,20 +58,20 @@ def write_by_shard(rows: DataFrame, folder: str, shard: str = "shard", key: str
 def write_vocabulary(entries: DataFrame, folder: str) -> None:
     """A file with a JSON list of one-entry objects (concept to value) in the order of ord. One task writes it, since it is one file."""
 
-    def lines(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for part in parts:
+        for batch in batches:
             out = []
-            for line in part["line"]:
+            for line in batch.column(0).to_pylist():
                 if held is not None:
                     out.append(held if held == "[" else held + ",")
                 held = line
-            yield pd.DataFrame({"line": out})
-        yield pd.DataFrame({"line": [held, "]"]})
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["line"])
+        yield pa.RecordBatch.from_arrays([pa.array([held, "]"], pa.string())], ["line"])
 
     one = entries.select(F.col("ord").cast("long").alias("ord"), F.to_json(F.map_from_arrays(F.array("concept"), F.array("value"))).alias("line"))
     opened = entries.sparkSession.createDataFrame([(None, "[")], "ord long, line string").unionByName(one)
-    opened.repartition(1).sortWithinPartitions("ord").select("line").mapInPandas(lines, "line string").write.mode("overwrite").text(folder)
+    opened.repartition(1).sortWithinPartitions("ord").select("line").mapInArrow(lines, "line string").write.mode("overwrite").text(folder)
 
 
 def append_result(spark: SparkSession, folder: str, **values) -> None:
