@@ -41,7 +41,8 @@ def known(spark) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id, digest, canonical_chars, licence_id (null if the text is no known licence).
 
-    The known digests are a fixed list and are broadcast; documents are not shuffled. Null and empty texts match nothing.
+    The known digests are a fixed list and are broadcast; documents are not shuffled. Null and empty texts match nothing; null ids stay null; rows repeated or with equal ids are rows of
+    their own; other columns are not read; an empty table gives no rows.
     """
     form = docs.select(F.col(id_col).alias("id"), canonical(F.col(text)).alias("_form"))
     d = form.select("id", F.sha2("_form", 256).alias("digest"), F.length("_form").cast("long").alias("canonical_chars"))

@@ -23,7 +23,9 @@ PAGES = "id long, page int, width int, height int, channels int, compression int
 
 
 def pages(files: DataFrame, id_col: str, media: str) -> DataFrame:
-    """A row for each page of each file (PAGES); a page that can't be read gives a row with its error, and the next ones follow as long as their offsets can be read. Null files give none."""
+    """A row for each page of each file (PAGES); a page that can't be read gives a row with its error, and the next ones follow as long as their offsets can be read.
+
+    Null files give no rows, empty and damaged ones one with an error. Rows with equal ids or files are rows of their own; other columns are not read; an empty table gives none."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PAGES.split(", ")]
@@ -50,7 +52,7 @@ def payload(text: str | None) -> tuple[int, bytes]:
 
 
 def stored(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_bytes and media: each text as a TIFF of 64 grey samples a row, deflated, with the horizontal predictor; a page holds PAGE_ROWS rows."""
+    """id, n_bytes and media of every row (null texts are empty; equal texts give equal files; other columns are not read): each text as a TIFF of 64 grey samples a row, deflated, with the horizontal predictor; a page holds PAGE_ROWS rows."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,7 +69,7 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
 
 
 def features(files: DataFrame) -> DataFrame:
-    """From stored(): id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, all of what the decoded pages hold."""
+    """From stored(): id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, all of what the decoded pages hold. One row per row: null ids stay null, equal files have equal values."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -133,6 +133,10 @@ def pack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
+#: More than any of the compressions can give of a byte.
+MOST_RATIO = 4096
+
+
 def _unpack(data: bytes, compression: int, size: int) -> bytes:
     if compression == NONE:
         return data
@@ -141,7 +145,7 @@ def _unpack(data: bytes, compression: int, size: int) -> bytes:
     if compression == LZW:
         return unpack_lzw(data, size)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, max(size, 1))
     raise ValueError(f"compression {compression} is not known")
 
 
@@ -179,7 +183,7 @@ def read_pages(data: bytes) -> Iterator[Page | ValueError]:
             (n,) = struct.unpack_from(order + "H", data, at)
             (following,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
             yield _page(data, _directory(data, at, order)[0], order, number)
-        except (struct.error, KeyError, IndexError, zlib.error) as error:
+        except (struct.error, KeyError, IndexError, ZeroDivisionError, OverflowError, MemoryError, TypeError, zlib.error) as error:
             yield ValueError(f"page {number} can't be read: {error}")
         except ValueError as error:
             yield error
@@ -204,6 +208,13 @@ def _page(data: bytes, fields: dict[int, list[int]], order: str, number: int) ->
     tiled = TILES in fields
     across, down = (fields[TILE_WIDTH][0], fields[TILE_HEIGHT][0]) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
     places, sizes = fields[TILES if tiled else STRIPS], fields[TILE_SIZES if tiled else STRIP_SIZES]
+    if width and height:
+        if across < 1 or down < 1 or channels < 1:
+            raise ValueError("strips or tiles have no size")
+        if width * height * channels * kind.itemsize > MOST_RATIO * len(data):
+            raise ValueError("the page is larger than its file can hold")
+        if len(places) < -(-width // across) * -(-height // down):
+            raise ValueError("strips or tiles are missing")
     out = np.zeros((height, width, channels), kind)
     columns = -(-width // across) if width else 1
     for k, (place, size) in enumerate(zip(places, sizes, strict=True)):

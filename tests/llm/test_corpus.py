@@ -222,6 +222,90 @@ def test_media(spark, odd, empty):
     assert [(r.page, r.samples and set(r.samples), r.error is None) for r in got] == [(0, {0}, True), (1, None, False), (2, {2}, True)]
 
 
+def test_media_equals_plain_python(spark, odd):
+    for r, (i, t) in zip(sorted(media.features(media.stored(odd.coalesce(1))).collect(), key=lambda r: (r.id is None, r.id or 0, r.n_bytes, r.payload_sha256)), sorted(ODD, key=lambda x: (x[0] is None, x[0] or 0, len((x[1] or "").encode()), hashlib.sha256(media.payload(x[1])[1]).hexdigest())), strict=True):
+        size, data = media.payload(t)
+        assert (r.id, r.n_bytes, r.payload_bytes) == (i, size, len(data)) and len(data) == max(64, -(-size // 64) * 64)
+        assert r.payload_sha256 == hashlib.sha256(data).hexdigest() and r.tail_crc32 == zlib.crc32(data[-64:])
+
+
+def test_damaged_media_give_error_rows(spark):
+    r, whole = random.Random(0), tiff.encode([np.arange(4096, dtype=np.uint8).reshape(64, 64)] * 2, tile=(32, 32))
+    files = [(0, bytearray()), (1, bytearray(whole)), (2, None)]
+
+    def field(tag, value):
+        data = bytearray(whole)
+        first = int.from_bytes(data[4:8], "little")
+        at = next(k for k in range(first + 2, first + 200, 12) if int.from_bytes(data[k : k + 2], "little") == tag)
+        data[at + 8 : at + 12] = value.to_bytes(4, "little")
+        return data
+
+    files += [(3, field(tiff.TILE_WIDTH, 0)), (4, field(tiff.WIDTH, 2_000_000)), (5, field(tiff.HEIGHT, 4_000_000_000)), (6, field(tiff.TILE_HEIGHT, 2**31))]
+    for k in range(200):
+        data = bytearray(whole)
+        for _ in range(r.randint(1, 8)):
+            data[r.randrange(len(data))] = r.randrange(256)
+        files.append((10 + k, data[: r.choice([len(data), r.randrange(len(data))])]))
+    d = spark.createDataFrame(files, "id long, media binary")
+    got = defaultdict(list)
+    for row in media.pages(d, "id", "media").collect():
+        got[row.id].append(row.error)
+    assert set(got) == {i for i, _ in files if i != 2} and got[1] == [None, None] and got[0][0]
+    assert all(got[i][0] and got[i][1] is None for i in (3, 4, 5, 6))
+
+
+def test_packing_equals_plain_tokens(spark, odd):
+    coder, got = tokens.Encoder(), defaultdict(list)
+    for p in packing.result(packing.pack(odd)).collect():
+        got[p.doc_id, p.doc_tokens].append((p.start, p.length, p.ids_crc32))
+    want = defaultdict(list)
+    for i, t in ODD:
+        ids = np.array(coder.tokenizer.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        want[i, len(ids)] += [(k, len(ids[k : k + 1024]), zlib.crc32(ids[k : k + 1024].tobytes())) for k in range(0, len(ids), 1024)]
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_mix_comes_near_its_targets(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    by = defaultdict(list)
+    for x in mixing.mix(docs).collect():
+        assert 0 <= x.taken <= 3 * x.size
+        by[x.source].append(x)
+    for own in by.values():
+        assert abs(sum(x.taken for x in own) - own[0].target) <= 0.02 * own[0].target + max(x.size for x in own)
+
+
+def test_stages_equal_plain_python(spark):
+    """What each stage of the pipeline keeps, on a table with planted copies, names that clash and rows that share an id."""
+    from tessera.llm import stages
+
+    r = random.Random(4)
+    words = [" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(12)]
+    near = [f"{w} tail{k}" for k, w in enumerate(words[:5])]
+    data = [(k, t, f"s{k % 3}", k, k * 1.0) for k, t in enumerate([*words, *[w.replace(" ", "\n ") for w in words[:4]], *near, "", None, " "])]
+    data += [(3, "another text of id three", "s0", 1, 1.0), (None, "no id", None, 2, 2.0)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, _id long, _score double")
+    after = stages.drop_copies(docs)
+    groups = defaultdict(list)
+    for i, t, *_ in data:
+        groups["".join((t or "").split())].append((-len(t or ""), i is None, i or 0, t))
+    want = sorted((min(g)[2], min(g)[3] or "") for g in groups.values())
+    assert sorted((x.doc_id or 0, x.text or "") for x in after.collect()) == want and after.columns == docs.columns
+    kept = spark.createDataFrame(after.collect(), docs.schema)
+    lone = stages.drop_near_copies(kept)
+    rows_ = kept.collect()
+    root = brute_groups([x.text for x in rows_])
+    assert len({root[k] for k in range(len(rows_))}) == lone.count() and lone.columns == docs.columns
+    assert (3, "another text of id three") in {(x.doc_id, x.text) for x in lone.collect()}
+    mixed = stages.repeat_to_mix(lone)
+    taken = Counter()
+    for x in mixing.mix(lone).collect():
+        taken[x.id, x.source] += x.passes
+    assert Counter((x.doc_id, x.source) for x in mixed.collect()) == +taken and mixed.columns == docs.columns
+    clean = stages.drop_toxic(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert clean.count() == docs.count() and clean.columns == docs.columns
+
+
 def test_arrow_files(spark, odd, empty):
     folder = scratch(spark, "test")
     got = arrow_output.read_tokens(arrow_output.write_tokens(odd, folder), folder).toPandas().sort_values("start")
