@@ -34,7 +34,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
 
-#: String-kernel scores, BagMinHash groups and fitted budgets are not expressible in SQL. The tests check only the stages' columns and that the result is not empty.
+#: String-kernel scores, BagMinHash groups and fitted budgets are not expressible in SQL. tests/llm compares what the exact dedup, near dedup and mixing stages keep with plain Python on a planted table, and pieces with plain tokens; toxicity by recall on sentences.
 ORACLE_SQL = None
 
 
