@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import read
-from tessera.llm.licence_texts import LICENCES
+from tessera.llm.licence_texts import DIGESTS, LICENCES
 
-#: Lines that state a copyright. "Copyright" before one of these words belongs to a sentence that was wrapped there, unless a colon follows.
-WRAPPED = r"(notices?|holders?|owners?|licen[cs]es?|laws?|statements?|interests?|and|or)\b(?![ \t]*:)"
-COPYRIGHT = rf"(^|\n)[ \t*#/;>-]*(copyright(?![\s*#/;>-]+{WRAPPED})|\(c\)|©|all rights reserved)[^\n]*"
+#: Lines that state a copyright. "Copyright" before one of these words belongs to a sentence that was wrapped there, unless a colon follows; "(c)" without a year is a list mark.
+WRAPPED = r"(notices?|holders?|owners?|licen[cs]es?|laws?|statements?|interests?|treaty|rights?|disclaimers?|permission|the software|and|or|on|in|is|by|to)\b(?![ \t]*:)"
+STATED = r"\(c\)[^\n]*\b(?:19|20)[0-9][0-9]\b|©|all rights reserved"
+COPYRIGHT = rf"(^|\n)[ \t*#/;>-]*(copyright\b(?![\s*#/;>-]+{WRAPPED})|{STATED})[^\n]*"
 #: The same in the SQL, which has no lookahead and so takes wrapped lines for statements.
-SQL_COPYRIGHT = r"(^|\n)[ \t*#/;>-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+SQL_COPYRIGHT = rf"(^|\n)[ \t*#/;>-]*(copyright\b|{STATED})[^\n]*"
 #: Spellings that count as the same, after lower-casing.
 EQUIVALENT = (
     ("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"), ("non-infringement", "noninfringement"), ("organisation", "organization"),
@@ -33,9 +34,10 @@ def canonical(text: Column) -> Column:
 
 
 def known(spark) -> DataFrame:
-    """licence_id, digest of the fixed list of licences (one row each, a few dozen at most)."""
-    rows = F.array(*[F.struct(F.lit(k).alias("licence_id"), F.lit(v).alias("body")) for k, v in LICENCES])
-    return spark.range(1).select(F.explode(rows).alias("r")).select("r.licence_id", F.sha2(canonical(F.col("r.body")), 256).alias("known_digest"))
+    """licence_id, known_digest of the fixed list of licences: short ones by their texts, long ones by the digest of their canonical form (one row each, under a hundred; a licence may have several)."""
+    rows = F.array(*[F.struct(F.lit(k).alias("licence_id"), F.sha2(canonical(F.lit(v)), 256).alias("known_digest")) for k, v in LICENCES])
+    fixed = F.array(*[F.struct(F.lit(k).alias("licence_id"), F.lit(v).alias("known_digest")) for k, v in DIGESTS])
+    return spark.range(1).select(F.explode(F.concat(rows, fixed)).alias("r")).select("r.licence_id", "r.known_digest")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -62,6 +64,7 @@ def _sql(text: str) -> str:
 
 def oracle() -> str:
     values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in LICENCES)
-    return f"""WITH k AS (SELECT licence_id, sha256({_sql("body")}) AS digest FROM (VALUES {values}) AS v(licence_id, body)),
+    fixed = ", ".join(f"('{k}', '{v}')" for k, v in DIGESTS)
+    return f"""WITH k AS (SELECT licence_id, sha256({_sql("body")}) AS digest FROM (VALUES {values}) AS v(licence_id, body) UNION ALL VALUES {fixed}),
 d AS (SELECT doc_id, {_sql("text")} AS form FROM documents)
 SELECT doc_id, sha256(form) AS digest, length(form) AS canonical_chars, licence_id FROM d LEFT JOIN k ON k.digest = sha256(form)"""

@@ -3,6 +3,7 @@ import random
 import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -189,10 +190,27 @@ def test_licences(spark, odd, empty):
     assert sum("\ncopyright notice" in x[2].lower() for x in wrapped) > 10
     d2 = spark.createDataFrame(wrapped, "doc_id long, name string, text string")
     assert {(r.id, r.licence_id) for r in licences.scan(d2).collect()} == {(i, name) for i, name, _ in wrapped}
+    assert all(sum(name == n for n, _ in licences.LICENCES) > 1 for name in ("MIT", "ISC", "BSD-3-Clause", "Unlicense"))
     assert licences.scan(odd).count() == len(ODD) and licences.scan(empty).count() == 0
     assert not any(x in licences.scan(d)._jdf.queryExecution().toString() for x in ("Python", "Arrow", "Pandas"))
 
 
+#: Where the system keeps long licences, by our name.
+KEPT = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.parametrize("name", sorted(KEPT))
+def test_long_licences(spark, name):
+    path = Path("/usr/share/common-licenses") / KEPT[name]
+    if not path.exists():
+        pytest.skip("the system keeps no licences")
+    whole, end = path.read_text(encoding="utf-8"), "END OF TERMS AND CONDITIONS"
+    texts = [whole, whole.upper().replace("\n", "\r\n"), "\n".join(" * " + line for line in whole.split("\n")), whole.replace("https://", "http://"), whole + " and more"]
+    texts += [whole[: whole.index(end) + len(end)]] if end in whole else []
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.id: r.licence_id for r in licences.scan(d).collect()} == {i: None if i == 4 else name for i in range(len(texts))}
+
+
 @pytest.mark.parametrize("compression", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
 @pytest.mark.parametrize("tile", [None, (32, 16)])
 def test_tiff_round_trip(compression, tile):
