@@ -1,7 +1,7 @@
 """Exact dedup by deterministic block naming.
 
 A text (as bytes, after deleting a set of white space) is cut into blocks of fixed size. All
-distinct blocks are sorted and get integer names; then adjacent pairs of names are named in the
+distinct blocks are sorted (by a hash of their digests) and get their ranks as integer names; then adjacent pairs of names are named in the
 same way, level by level, until each document has one integer. Names stand for contents, never
 for hashes of them, so equal names mean equal texts.
 
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import hashed_rank, written
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -64,15 +64,15 @@ def described(docs: DataFrame, id_col: str, text: str, block: int) -> DataFrame:
     return docs.select(F.col(text), F.col(id_col)).mapInArrow(cut, "id long, text_sha256 string, n_chars long, digests array<binary>")
 
 
-def _named(distinct: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
-    """Integer names of distinct rows: sorted within their hash partition; a partition's rows are the same in every attempt."""
-    return distinct.sortWithinPartitions(*keys).select(*carry, F.monotonically_increasing_id().alias("name"))
+def _named(distinct: DataFrame, keys: list[str], table: str) -> DataFrame:
+    """keys and name of distinct rows: their ranks in the order of a hash of the keys, from 0 on without gaps. Names follow from the rows alone, not from partitions or attempts."""
+    rows = written(distinct.select(*keys), f"{table}-rows")
+    return written(hashed_rank(rows, [], keys, rows.count(), rank="name"), table)
 
 
 def block_names(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
     """(digest, name) of every distinct block. A digest with two names is a digest of two contents."""
-    blocks = distinct_blocks(docs, text, block).groupBy("block").agg(F.first("digest").alias("digest"))
-    return written(_named(blocks, ["block"], ["digest"]), "names")
+    return _named(distinct_blocks(docs, text, block).groupBy("block").agg(F.first("digest").alias("digest")), ["digest"], "names")
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -101,7 +101,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bloc
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right")
         )
         pairs = written(pairs, f"pairs{level}")
-        fresh = written(_named(pairs.groupBy("left", "right").agg(F.lit(1).alias("one")), ["left", "right"], ["left", "right"]), f"names{level}")
+        fresh = _named(pairs.select("left", "right").distinct(), ["left", "right"], f"names{level}")
         current = pairs.join(fresh, ["left", "right"]).select(*row, F.ceil(F.col("n_blocks") / 2).cast("int").alias("n_blocks"), "pos", "name")
         longest, level = -(-longest // 2), level + 1
     out = done[0]

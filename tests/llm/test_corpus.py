@@ -54,6 +54,19 @@ def test_exact_dedup(odd, empty):
     assert sum(r.kept for r in got) == len(groups)
 
 
+def test_names_follow_from_the_texts_alone(spark, odd):
+    named = lambda d: sorted((r.text_sha256, r.levels, r.name) for r in exact_dedup.identities(d, block=4).collect())
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    first = named(odd)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        assert named(odd.repartition(5, "text")) == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    blocks = exact_dedup.block_names(odd, block=4).collect()
+    assert sorted(r.name for r in blocks) == list(range(len(blocks)))
+
+
 def test_histogram_packing_loses_nothing():
     r = random.Random(0)
     for _ in range(50):
