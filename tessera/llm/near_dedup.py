@@ -262,6 +262,8 @@ def _apart(seen: DataFrame, labels: DataFrame) -> DataFrame:
     crowded = rooted.groupBy("a").agg(F.max(failed).alias("_failed"), F.min("root").alias("_low"), F.max("root").alias("_high")).where("_failed AND _low < _high").select("a")
     x = rooted.join(crowded, "a", "left_semi").where(failed).select("a", F.col("b").alias("x"), F.col("root").alias("rx"), F.col("size_b").alias("nx"), F.col("added").alias("ax"), F.col("missing").alias("mx"), *[F.col(s).alias(f"x{s}") for s in SKETCHES], F.posexplode("probe").alias("i", "e"))
     y = rooted.join(crowded, "a", "left_semi").select("a", F.col("b").alias("y"), F.col("root").alias("ry"), failed.alias("fy"), F.col("size_b").alias("ny"), F.col("added").alias("ay"), F.col("missing").alias("my"), *[F.col(s).alias(f"y{s}") for s in SKETCHES], F.posexplode("lookup").alias("j", "e"))
+    # A cell (a, e) whose other side has members of the same group only holds no pair; that takes a cloud of copies out before it meets itself.
+    x, y = _with_others(x, "rx", y, "ry"), _with_others(y, "ry", x, "rx")
     need = (F.col("ax") + F.col("mx") + F.col("ay") + F.col("my") - RATIO * (F.col("nx") + F.col("ny"))) / 2 - 1e-9
     # A pair is judged where its first common element is met: what else it shares comes later in both, added elements before missing ones.
     added = F.col("e").bitwiseAND(F.lit(1)) == 1
@@ -272,6 +274,12 @@ def _apart(seen: DataFrame, labels: DataFrame) -> DataFrame:
     return x.join(y, ["a", "e"]).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def _with_others(rows: DataFrame, root: str, others: DataFrame, other_root: str) -> DataFrame:
+    """The rows whose cell (a, e) has one of `others` in another group."""
+    bounds = others.groupBy("a", "e").agg(F.min(other_root).alias("_low"), F.max(other_root).alias("_high"))
+    return rows.join(bounds, ["a", "e"]).where((F.col("_low") != F.col(root)) | (F.col("_high") != F.col(root))).drop("_low", "_high")
+
+
 def _texts_of(texts: DataFrame, own: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, text) of the keys of pairs, one row each. own tells the id and mark of the text that stands for a key."""
     needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "key")
