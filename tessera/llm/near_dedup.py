@@ -230,14 +230,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     star = shared.join(leads, "band").where("m.id <> a").select("a", F.col("m.id").alias("b"), *[f"m.{s}" for s in SKETCHES]).distinct()
     star = written(star, "star")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    texts = _texts_of(texts, own, star)
     with arrow_rows(spark, BATCH):
-        seen = written(compared(star, _texts_of(texts, own, star)), "compared")
+        seen = written(compared(star, texts), "compared")
     links = written(_both_ways(seen.where(F.col("similarity") >= THRESHOLD)).distinct(), "links")
     labels = written(components(links), "labels")
     cross = written(_apart(seen, labels).distinct().join(_both_ways(star), ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
         with arrow_rows(spark, BATCH):
-            links = written(links.unionByName(verified(cross, _texts_of(texts, own, cross))), "links2")
+            links = written(links.unionByName(verified(cross, texts)), "links2")
         labels = written(components(links), "labels2")
     counts = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     rooted = first.join(labels.withColumnRenamed("id", "key"), "key", "left").join(counts, "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -281,10 +282,10 @@ def _with_others(rows: DataFrame, root: str, others: DataFrame, other_root: str)
 
 
 def _texts_of(texts: DataFrame, own: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, text) of the keys of pairs, one row each. own tells the id and mark of the text that stands for a key."""
-    needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "key")
-    needed = written(own.select("key", "id", "mark").join(needed, "key"), "needed")
-    return texts.join(needed, ["id", "mark"]).groupBy("key").agg(F.min("text").alias("text")).withColumnRenamed("key", "id")
+    """(id, text) of the keys of pairs, one row each, as a written table. own tells the id and mark of the text that stands for a key. Rows repeated in full meet before the one shuffle of the texts."""
+    keys = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "key")
+    once = texts.where("id IS NOT NULL").groupBy("id", "mark").agg(F.min("text").alias("text"))
+    return written(once.join(own.select("key", "id", "mark").join(keys, "key"), ["id", "mark"]).select(F.col("key").alias("id"), "text"), "texts")
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
