@@ -1,134 +1,5 @@
-"""Exact, fast encoding of text columns with a public byte-level BPE file.
+"""The encoder of tessera.functions.bytewords, for the corpus operators."""
 
-The pre-tokeniser of such a vocabulary never joins a non-white character to a white one that
-follows it, so a text may be cut before every space that follows a non-white character without
-changing its ids. The pieces (words with their leading space) repeat, so each distinct piece is
-encoded once by the tokenizers library and its ids are copied from there.
-"""
+from tessera.functions.bytewords import Encoder, default_path, encoder
 
-from __future__ import annotations
-
-import os
-import re
-from itertools import chain
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-
-#: Distinct pieces that a worker remembers; beyond that it starts anew.
-MEMO = 400_000
-#: New words that are encoded as one text; the bytes of its ids tell where each word's end.
-JOINED = 2_000
-_CLOSING = ".,;:!?*$%&|#\"()"
-#: White space before a space: such texts are cut by _CUT, which looks at the character before.
-_ODD = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
-_CUT = re.compile(r"(?<=\S)(?= )")
-
-
-def default_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
-class Encoder:
-    def __init__(self, path: str | None = None):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path or default_path())
-        self.tokenizer.encode_special_tokens = True
-        if hasattr(self.tokenizer.model, "_resize_cache"):
-            self.tokenizer.model._resize_cache(0)  # words are remembered here
-        vocabulary = self.tokenizer.get_vocab()  # a byte-level token has a character for each byte
-        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, number in vocabulary.items():
-            self.widths[number] = len(token)
-        self._forget()
-
-    def _forget(self) -> None:
-        """A memo gives a word's number, one for words after a space and one for first words; pool holds all ids, start and size where a word's lie."""
-        self.memo: tuple[dict[str, int], dict[str, int]] = ({}, {})
-        self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of known words, one after another, and the size of each."""
-        lengths = self.size[number]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.pool.take(np.repeat((self.start[number] - (ends - lengths)).astype(np.int32), lengths) + np.arange(total, dtype=np.int32)), lengths
-
-    def _add(self, words: list[str], memo: dict[str, int], ids: np.ndarray, size: np.ndarray) -> None:
-        known = len(self.size)
-        memo.update(zip(words, range(known, known + len(words)), strict=True))
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
-        self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, ids])
-
-    def _encode_new(self, new: list[str], memo: dict[str, int], prefix: str) -> None:
-        groups = new
-        if prefix:  # a piece that ends in white space may not stand before another
-            new.sort(key=lambda w: not w or w[-1].isspace())
-            closed = next((k for k, w in enumerate(new) if not w or w[-1].isspace()), len(new))
-            groups = [prefix + prefix.join(new[k : min(k + JOINED, closed)]) for k in range(0, closed, JOINED)] + [prefix + w for w in new[closed:]]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)]
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, sum(map(len, ids)))
-        bytes_before = np.cumsum(pc.binary_length(pa.array(new, pa.large_string())).to_numpy() + len(prefix))
-        last = np.searchsorted(np.cumsum(self.widths[flat]), bytes_before, side="right")
-        self._add(new, memo, flat, np.diff(last, prepend=0))
-
-    def _numbers(self, words: list[str], prefix: str) -> np.ndarray:
-        """The number of each piece prefix + word. Closing punctuation starts a pre-token after a letter or digit, so such words are put together from a stem and that."""
-        memo = self.memo[1 if prefix else 0]
-        new = [w for w in dict.fromkeys(words) if w not in memo]
-        if new and prefix:
-            stems = {w: s for w in new if w[-1:] in _CLOSING and (s := w.rstrip(_CLOSING)) and s[-1].isalnum()}
-            simple = dict.fromkeys(w for w in new if w not in stems) | dict.fromkeys(s for s in stems.values() if s not in memo)
-            if simple:
-                self._encode_new(list(simple), memo, prefix)
-            if stems:
-                tails = self._numbers([w[len(s) :] for w, s in stems.items()], "")
-                pairs = np.stack([np.fromiter(map(memo.__getitem__, stems.values()), np.int64, len(stems)), tails], axis=1)
-                ids, lengths = self._gather(pairs.ravel())
-                self._add(list(stems), memo, ids, lengths.reshape(-1, 2).sum(axis=1))
-        elif new:
-            self._encode_new(new, memo, prefix)
-        return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, ids): text i has ids[offsets[i]:offsets[i + 1]]; a null text has none."""
-        if len(self.size) > MEMO:
-            self._forget()
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        n = len(texts)
-        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
-        plain = pc.if_else(pa.array(~odd), texts, pa.scalar("", pa.large_string())) if odd.any() else texts
-        words = pc.split_pattern(plain, " ")
-        starts = words.offsets.to_numpy().astype(np.int64)
-        coded = words.values.dictionary_encode()
-        code = coded.indices.to_numpy()
-        names, first = coded.dictionary.to_pylist(), starts[:-1]
-        number = self._numbers(names, " ")[code]
-        number[first] = self._numbers([names[c] for c in code[first].tolist()], "")
-        rows = np.repeat(np.arange(n), np.diff(starts))
-        if odd.any():
-            cuts = [(i, _CUT.split(texts[i].as_py())) for i in np.flatnonzero(odd).tolist()]
-            more = self._numbers([p for _, cut in cuts for p in cut], "")
-            rows = np.concatenate([rows, np.repeat([i for i, _ in cuts], [len(cut) for _, cut in cuts])])
-            number = np.concatenate([number, more])
-            order = np.argsort(rows, kind="stable")
-            rows, number = rows[order], number[order]
-        ids, lengths = self._gather(number)
-        sums = np.bincount(rows, weights=lengths, minlength=n).astype(np.int64) if n else np.zeros(0, np.int64)
-        return np.concatenate([[0], np.cumsum(sums)]).astype(np.int64), ids
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str | None) -> Encoder:
-    """One encoder a worker process and vocabulary."""
-    key = path or ""
-    if key not in _encoders:
-        _encoders[key] = Encoder(path)
-    return _encoders[key]
+__all__ = ["Encoder", "default_path", "encoder"]

@@ -179,6 +179,36 @@ def test_token_ids(spark):
     assert back[0].text == "a cat sat"
 
 
+def test_reductions_share_one_pass_over_slices_of_the_texts(spark, sf):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tessera.plans import evaluation
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plan = evaluation.token_reduction(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    texts = [None if k % 13 == 5 else " ".join(f"{k}é word{j % (k + 9)}" for j in range(k * 160)) for k in range(40)]
+    texts[3], texts[9] = "<|endoftext|>", texts[9] + " <|endoftext|>tail  of it\u2003 \n"
+    texts[17], texts[30] = "long " * (tokenize.CHUNK // 4), "very long " * (tokenize.CHUNK // 9)
+    slices = list(tokenize._slices(pa.array(texts)))
+    assert [t for x in slices for t in x] == [t or "" for t in texts] and len(slices) > 2
+    assert all(len(x) == 1 or sum(len(t.encode()) for t in x) <= tokenize.CHUNK + max(len(t.encode()) for t in x) for x in slices)
+    kinds = dict(zip("abcdef", (*tokenize.REDUCTIONS, "syntax"), strict=True))
+    d = spark.createDataFrame(list(enumerate(texts)), "k int, text string").coalesce(1)
+    got = tokenize.reduced_ids(d, path, 1, 2, kinds, context=30, seed=5, priority=len).orderBy("k").collect()
+    coder = Tokenizer.from_file(path)
+    for r, t in zip(got, texts, strict=True):
+        t = t or ""
+        for name, kind in kinds.items():
+            own = " ".join(tokenize.prioritised(t.split(), 28, len)) if kind == "syntax" else t
+            ids = tokenize.fitted(np.array(coder.encode(own, add_special_tokens=False).ids, int), 28, kind, tokenize.xxhash.xxh3_64_intdigest(t, seed=5)).tolist()
+            assert r[name] == [1, *ids, 2, *[0] * (28 - len(ids))]
+    with pytest.raises(ValueError):
+        tokenize.token_ids(d, path, 1, 2, reduction="none")
+
+
 def test_vectors(spark):
     r = np.random.default_rng(0)
     x, y = r.normal(size=(2, 150, 8))
