@@ -122,6 +122,47 @@ def test_captions_are_checked_for_their_classes(spark, sf):
     assert len(got) == sum(len(c) for _, _, c in rows_)
 
 
+def test_words_are_compared_with_few_forms():
+    import random
+
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdé") for _ in range(draw.randint(1, 24)))
+
+    def changed(w):
+        for _ in range(draw.randint(0, 4)):
+            k = draw.randint(0, len(w))
+            w = draw.choice((w[:k] + draw.choice("abx") + w[k:], w[:k] + w[k + 1 :], w[:k] + "z" + w[k + 1 :]))
+        return w or "a"
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    forms = [word() for _ in range(80)]
+    words = [word() for _ in range(40)] + [changed(f) for f in forms * 3]
+    for threshold in (0.85, 0.7, 0.4, 0.0):
+        index = caption_qa._Index({"one": set(forms[:50]), "two": set(forms[30:])}, threshold)
+        for w in words[:: 1 if threshold > 0.5 else 9]:
+            want = {(d / max(len(f), len(w)), f) for f in set(forms) if (d := edits(f, w)) <= int((1 - threshold) * max(len(f), len(w)) + 1e-9)}
+            assert set(index.like(w)) == want
+
+    counted, distance = [], caption_qa._distance
+    try:
+        caption_qa._distance = lambda a, b, most: counted.append(a) or distance(a, b, most)
+        matches = caption_qa._Matches("full", 0.85, caption_qa.Language())
+        names = [f"{x}{y}ation" for x in ("modern", "urban", "local", "organ", "author") for y in ("is", "iz", "ific", "ul", "er")]
+        matches.add(set(names))
+        said = " ".join(f"{w}{k}" for k in range(100) for w in ("organisatoin", "landscape", "qwertyuiop"))
+        assert [x[:2] for x in matches.judge(said, names)] == [x[:2] for x in matches.judge(said, names)]
+    finally:
+        caption_qa._distance = distance
+    assert len(counted) < 0.05 * len(said.split()) * len(names) * 5
+
+
 def test_caption_normalisation(spark):
     d = spark.createDataFrame([("Don't stop - a hot-dog, été_1!",)], "t string")
     row = d.select(caption_qa.normalised(F.col("t")).alias("n"), vocabulary.single_spaced(F.lit(" hot-dog\t\n x\u00a0")).alias("s"), vocabulary.morphological(F.lit("red  buses boxes ladies glass gases bus")).alias("m")).first()
