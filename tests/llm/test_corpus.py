@@ -418,6 +418,36 @@ def test_html_equals_brute_force(spark):
         assert got[k] == ("\n".join(w for w in want if w), int(covered.sum()))
 
 
+def test_suffix_array_cut_anywhere():
+    """However the sorted suffixes are dealt to ranges and batches, those found are the ones that another page has."""
+    r = random.Random(1)
+    array = sorted((f"h{r.randrange(2)}", r.choice("abcdef"), r.randrange(4) if r.random() < 0.5 else 9, k) for k in range(60))
+    pages = defaultdict(set)
+    for host, suffix, key, _ in array:
+        pages[host, suffix].add(key)
+    want = sorted((key, pos) for host, suffix, key, pos in array if len(pages[host, suffix]) > 1)
+    schema = pa.schema([("host", pa.string()), ("suffix", pa.string()), ("key", pa.int64()), ("pos", pa.int64())])
+    for _ in range(200):
+        ends, found = sorted(r.choices(range(len(array) + 1), k=r.randrange(12))), []
+        for part, (a, b) in enumerate(zip([0, *ends], [*ends, len(array)], strict=True)):
+            seen = html_text._Neighbours(part)
+            middle = r.randint(a, b)
+            for low, high in ((a, middle), (middle, b)):
+                seen.add(pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in array[low:high]], schema))
+            found += [row for batch in seen.take(True) for row in batch.to_pylist()]
+        edges = sorted((x["edge"], x["host"], x["suffix"], x["low"], x["high"]) for x in found if x["pos"] is None)
+        shared = html_text.shared_edges(edges)
+        assert sorted((x["key"], x["pos"]) for x in found if x["pos"] is not None and (x["edge"] is None or x["edge"] in shared)) == want
+
+
+def test_html_array_holds_the_whole_host(spark):
+    """A run on an open page counts as repeated where a page with an article has it outside that article, not where it is the article's own."""
+    shared, own = "read this long notice that stands on all of the pages here", "these are ten words that the article has as well"
+    pages = [(1, "http://h/1", f"<div>{shared}</div><article><p>{own}</p></article>"), (2, "http://h/2", f"<div>{shared}</div><div>{own}</div>"), (3, "http://g/3", f"<div>{shared}</div>")]
+    got = {x.id: (x.text, x.n_cut) for x in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: (own, 0), 2: (own, len(shared.split())), 3: (shared, 0)}
+
+
 def test_html_without_article_tags(spark, sf):
     """Pages whose article and structure tags are taken away: the host's runs must not take the article's own text."""
     whole = spark.read.parquet(f"{sf}/pages.parquet").toPandas()
