@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from tests.conftest import rows
+from tessera.functions import bytewords
 from tessera.llm import arrow_output, bagminhash, chat, exact_dedup, html_text, licences, media, mixing, near_dedup, packing, queries, tiff, tokens, toxicity
 from tessera.llm.common import scratch
 
@@ -42,6 +43,44 @@ def test_encoder_is_exact():
         assert coder.tokenizer.encode(t or "", add_special_tokens=False).ids == ids[offsets[k] : offsets[k + 1]].tolist()
 
 
+class _Counted:
+    """A tokenizer that counts the bytes it encodes."""
+
+    def __init__(self, own):
+        self.own, self.bytes = own, 0
+
+    def encode_batch_fast(self, texts, **more):
+        self.bytes += sum(len(t.encode()) for t in texts)
+        return self.own.encode_batch_fast(texts, **more)
+
+
+def test_encoder_remembers_many_words():
+    """Half a million words are known when they come again, alone or with other punctuation."""
+    coder = tokens.Encoder()
+    library = coder.tokenizer
+    coder.tokenizer = _Counted(library)
+    r = random.Random(2)
+    names = ["".join(r.choices("abcdefghij", k=7)) for _ in range(500_000)]
+    texts = pa.array([" ".join(names[k : k + 5_000]) for k in range(0, len(names), 5_000)])
+    coder.encode(texts)
+    before = coder.tokenizer.bytes
+    offsets, ids = coder.encode(pa.array([f"z {t.as_py()}.!)" for t in texts]))
+    assert coder.tokenizer.bytes - before < 100
+    for k in (0, 50, 99):
+        assert library.encode(f"z {texts[k].as_py()}.!)", add_special_tokens=False).ids == ids[offsets[k] : offsets[k + 1]].tolist()
+
+
+def test_encoder_is_exact_over_calls(monkeypatch):
+    """Words known from other calls, in another order and after forgetting."""
+    monkeypatch.setattr(bytewords, "MEMO", 3_000)
+    coder, r = tokens.Encoder(), random.Random(3)
+    parts = [" ", " ", " ", "  ", "\n", "\u3000", "ab", "Cé", "½", "中", "'s", "12", ".", ",%", '!")', "-", "_"]
+    for _ in range(60):
+        texts = ["".join(r.choice(parts) for _ in range(r.randrange(20))) for _ in range(r.randrange(60))]
+        offsets, ids = coder.encode(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_exact_dedup(odd, empty):
     got = exact_dedup.dedup(odd, block=4).collect()
     assert len(got) == len(ODD) and exact_dedup.dedup(empty).count() == 0
