@@ -21,10 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hashed_rank, written
+from tessera.llm.common import arrow_rows, chunks, give_back, hashed_rank, written
 
 #: Bytes of a block.
 BLOCK = 4096
+#: Text of about this many bytes is worked on at once, and rows with texts in a batch at most.
+CHUNK, BATCH = 4_000_000, 2000
 WHITE = b" \t\n\x0b\x0c\r"
 
 
@@ -38,14 +40,15 @@ def _blocks(text: bytes, block: int) -> list[bytes]:
 
 
 def distinct_blocks(docs: DataFrame, text: str, block: int) -> DataFrame:
-    """(digest, block), a row for each distinct block of each Arrow batch."""
+    """(digest, block), a row for each distinct block of each slice of an Arrow batch."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, 0, CHUNK)):
             found = list(dict.fromkeys(b for t in _texts(batch) for b in _blocks(t, block)))
             for i in range(0, len(found), 2000):
                 part = found[i : i + 2000]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(b) for b in part], pa.binary()), pa.array(part, pa.binary())], ["digest", "block"])
+        give_back()
 
     return docs.select(F.col(text)).mapInArrow(cut, "digest binary, block binary")
 
@@ -54,20 +57,21 @@ def described(docs: DataFrame, id_col: str, text: str, block: int) -> DataFrame:
     """A row for each document: its id, text_sha256, n_chars (code points of the original) and its blocks' digests."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, 0, CHUNK)):
             texts = _texts(batch)
             chars = [len(t) if t else 0 for t in batch.column(0).to_pylist()]
             rows = [batch.column(1), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array(chars, pa.int64())]
             rows.append(pa.array([[xxhash.xxh3_128_digest(b) for b in _blocks(t, block)] for t in texts], pa.list_(pa.binary())))
             yield pa.RecordBatch.from_arrays(rows, ["id", "text_sha256", "n_chars", "digests"])
+        give_back()
 
     return docs.select(F.col(text), F.col(id_col)).mapInArrow(cut, "id long, text_sha256 string, n_chars long, digests array<binary>")
 
 
 def _named(distinct: DataFrame, keys: list[str], table: str) -> DataFrame:
     """keys and name of distinct rows: their ranks in the order of a hash of the keys, from 0 on without gaps. Names follow from the rows alone, not from partitions or attempts."""
-    rows = written(distinct.select(*keys), f"{table}-rows")
-    return written(hashed_rank(rows, [], keys, rows.count(), rank="name"), table)
+    rows = written(distinct.select(*keys), f"{table}-rows", few=True)
+    return written(hashed_rank(rows, [], keys, rows.count(), rank="name"), table, few=True)
 
 
 def block_names(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -81,8 +85,9 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bloc
     Two texts are equal exactly when (levels, name) are. Null texts count as empty; an empty text
     has one empty block. Null ids are kept; rows repeated in full are one row with their number in copies.
     """
-    names = block_names(docs, text, block)
-    rows = written(described(docs, id_col, text, block).groupBy("id", "text_sha256", "n_chars").agg(F.count(F.lit(1)).alias("copies"), F.first("digests").alias("digests")), "rows")
+    with arrow_rows(docs.sparkSession, BATCH):
+        names = block_names(docs, text, block)
+        rows = written(described(docs, id_col, text, block).groupBy("id", "text_sha256", "n_chars").agg(F.count(F.lit(1)).alias("copies"), F.first("digests").alias("digests")), "rows", few=True)
     if not names.groupBy("digest").count().where("count > 1").isEmpty():
         raise ValueError("two blocks share a 128-bit digest; run again with another block size")
     row = ["id", "text_sha256", "n_chars", "copies"]
@@ -90,7 +95,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bloc
     current = exploded.join(names, "digest").select(*row, "n_blocks", "pos", "name")
     level, done, longest = 0, [], None
     while True:
-        current = written(current, f"level{level}")
+        current = written(current, f"level{level}", few=True)
         done.append(current.where("n_blocks = 1").select(*row, F.lit(level).alias("levels"), "name"))
         rest = current.where("n_blocks > 1")
         if longest is None:
@@ -100,7 +105,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bloc
         pairs = rest.groupBy(*row, "n_blocks", F.expr("pos div 2").cast("int").alias("pos")).agg(
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right")
         )
-        pairs = written(pairs, f"pairs{level}")
+        pairs = written(pairs, f"pairs{level}", few=True)
         fresh = _named(pairs.select("left", "right").distinct(), ["left", "right"], f"names{level}")
         current = pairs.join(fresh, ["left", "right"]).select(*row, F.ceil(F.col("n_blocks") / 2).cast("int").alias("n_blocks"), "pos", "name")
         longest, level = -(-longest // 2), level + 1
@@ -118,7 +123,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", block: in
     """
     known = identities(docs, id_col, text, block)
     best = F.struct(-F.col("n_chars"), F.col("id").isNull(), F.col("id"))
-    groups = written(known.groupBy("levels", "name").agg(F.min(best).alias("best"), F.sum("copies").alias("group_size")), "groups")  # so that a large group's rows can be split in the join
+    groups = written(known.groupBy("levels", "name").agg(F.min(best).alias("best"), F.sum("copies").alias("group_size")), "groups", few=True)  # so that a large group's rows can be split in the join
     joined = known.join(groups, ["levels", "name"])
     wins = (F.col("n_chars") == -F.col("best.col1")) & F.col("id").eqNullSafe(F.col("best.id"))
     each = joined.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))

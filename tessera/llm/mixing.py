@@ -102,8 +102,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
 
     Null sources are one source, ranked last; null texts have size 0 and are never taken; rows with equal ids are rows of their own.
     """
-    rows = written(sized(docs, text).select(F.col(id_col).alias("id"), F.col(source).alias("source"), "size", F.xxhash64(text).alias("_mark")), "sized")
-    by_length = written(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    rows = written(sized(docs, text).select(F.col(id_col).alias("id"), F.col(source).alias("source"), "size", F.xxhash64(text).alias("_mark")), "sized", few=True)
+    by_length = written(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "lengths", few=True)
     sources = by_length.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     budget = written(targets(sources, weights, most).withColumn("passes", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("long")), "targets")
 

@@ -44,6 +44,8 @@ SKETCHES = [f"s{i}" for i in range(2 * PLANES)]
 SKETCH = 51
 #: Text of about this many bytes is worked on at once, and rows with texts in a batch at most.
 CHUNK, BATCH = 1_000_000, 500
+#: The same for rows with one text that is signed.
+SIGNED = 2000
 #: Pairs that one part of a leader's members has on average at most, and the least number of parts.
 PART_PAIRS, PARTS = 20_000, 64
 
@@ -189,17 +191,17 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn until nothing changes; an id's neighbours are never gathered, only their minimum
     (with map-side combine), and each step's links are written to the shared folder.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links", few=True)
     before = None
     while True:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "large")
+        large = written(large, "large", few=True)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = written(small, "small")
+        edges = written(small, "small", few=True)
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if state == before:
             return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
@@ -214,32 +216,33 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     share their fate. Null ids stay alone (class_id and group_id null, kept). Other columns of docs are not read, so their names don't matter; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    signed = written(described(docs, id_col, text), "signed")
+    with arrow_rows(spark, SIGNED):
+        signed = written(described(docs, id_col, text), "signed")
     first = signed.where("id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("m"), F.max("weight").alias("weight"))
     # The key of a class, fixed by being written.
-    first = written(first.select("digest", F.col("m.id").alias("class_id"), F.col("m.mark").alias("class_mark"), "weight", F.monotonically_increasing_id().alias("key")), "classes")
+    first = written(first.select("digest", F.col("m.id").alias("class_id"), F.col("m.mark").alias("class_mark"), "weight", F.monotonically_increasing_id().alias("key")), "classes", few=True)
     own = first.where("weight > 0").select("digest", F.col("class_id").alias("id"), F.col("class_mark").alias("mark"), "key")
     reps = signed.join(own, ["digest", "id", "mark"]).dropDuplicates(["key"])
-    members = written(reps.select(F.col("key").alias("id"), F.explode("bands").alias("band")), "members")
+    members = written(reps.select(F.col("key").alias("id"), F.explode("bands").alias("band")), "members", few=True)
     sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = members.join(sizes, "band")
-    company = written(shared.groupBy("id").agg(F.sum("n").alias("company")), "company")
+    company = written(shared.groupBy("id").agg(F.sum("n").alias("company")), "company", few=True)
     known = reps.join(company.withColumnRenamed("id", "key"), "key").select(F.col("key").alias("id"), F.struct(F.col("key").alias("id"), "weight", *SKETCHES).alias("m"), "company")
-    shared = written(shared.join(known, "id").select("band", "m", "company"), "shared")
+    shared = written(shared.join(known, "id").select("band", "m", "company"), "shared", few=True)
     leads = shared.groupBy("band").agg(F.min(F.struct(-F.col("company"), "m")).alias("best")).select("band", F.col("best.m.id").alias("a"))
     star = shared.join(leads, "band").where("m.id <> a").select("a", F.col("m.id").alias("b"), *[f"m.{s}" for s in SKETCHES]).distinct()
-    star = written(star, "star")
+    star = written(star, "star", few=True)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     texts = _texts_of(texts, own, star)
     with arrow_rows(spark, BATCH):
         seen = written(compared(star, texts), "compared")
-    links = written(_both_ways(seen.where(F.col("similarity") >= THRESHOLD)).distinct(), "links")
-    labels = written(components(links), "labels")
+    links = written(_both_ways(seen.where(F.col("similarity") >= THRESHOLD)).distinct(), "links", few=True)
+    labels = written(components(links), "labels", few=True)
     cross = written(_apart(seen, labels).distinct().join(_both_ways(star), ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
         with arrow_rows(spark, BATCH):
             links = written(links.unionByName(verified(cross, texts)), "links2")
-        labels = written(components(links), "labels2")
+        labels = written(components(links), "labels2", few=True)
     counts = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     rooted = first.join(labels.withColumnRenamed("id", "key"), "key", "left").join(counts, "key", "left").withColumn("root", F.coalesce("root", "key"))
     heads = rooted.groupBy("root").agg(F.min(F.struct("class_id", "class_mark")).alias("head"))

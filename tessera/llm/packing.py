@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import tokens
-from tessera.llm.common import chunks, give_back, hashed_rank, read, written
+from tessera.llm.common import arrow_rows, chunks, give_back, hashed_rank, read, written
 
 CAPACITY = 1024
 #: Text of about this many bytes is encoded at once.
 CHUNK = 4_000_000
+#: Rows with texts in a batch at most.
+BATCH = 4000
 SLOTS = "length int, low long, high long, first_sequence long, offset int"
 
 
@@ -138,7 +140,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity:
     Null texts count as empty (one piece that holds `end`); null ids stay null; rows that share an id or are repeated in full are documents of their own. Reads id_col and text alone, so
     other columns don't matter. An empty table gives no rows.
     """
-    pieced = written(pieces(docs, id_col, text, capacity, end, vocabulary), "pieces").withColumn("ids_crc32", F.crc32("ids"))
+    with arrow_rows(docs.sparkSession, BATCH):
+        pieced = written(pieces(docs, id_col, text, capacity, end, vocabulary), "pieces")
+    pieced = pieced.withColumn("ids_crc32", F.crc32("ids"))
     return place(pieced, ["id", "start", "length", "ids_crc32", "doc_tokens"], capacity)
 
 

@@ -33,7 +33,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts. Of rows equal in id and text that both could stay, any one does."""
     i, sha, n, s, length = free_names(docs, "_id", "_sha", "_n", "_s", "_l")
-    decided = written(exact_dedup.dedup(docs), "decided")
+    decided = written(exact_dedup.dedup(docs), "decided", few=True)
     stays = decided.where("kept").select(F.col("id").alias(i), F.col("text_sha256").alias(sha), F.col("n_chars").alias(n))
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.withColumns({s: F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), 256), length: F.length(text).cast("long")})
@@ -57,7 +57,7 @@ def repeat_to_mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     i, source, mark, passes, rows_, number, time = free_names(docs, "_id", "_source", "_mark", "_passes", "_rows", "_number", "_time")
     key = [i, source, mark]
     mixed = mixing.mix(docs, seed=seed).select(F.col("id").alias(i), F.col("source").alias(source), F.col("mark").alias(mark), "passes")
-    plan = written(mixed.groupBy(*key).agg(F.sum("passes").alias(passes), F.count(F.lit(1)).alias(rows_)).where(F.col(passes) > 0), "passes")
+    plan = written(mixed.groupBy(*key).agg(F.sum("passes").alias(passes), F.count(F.lit(1)).alias(rows_)).where(F.col(passes) > 0), "passes", few=True)
     same = F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(source)) & (F.xxhash64("text") == F.col(mark))
     out = docs.join(plan, same)
     if not plan.where(F.col(rows_) > 1).isEmpty():

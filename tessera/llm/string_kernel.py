@@ -13,6 +13,8 @@ import numpy as np
 
 DECAY, SPAN = 0.85, 7
 SYMBOLS = 32
+#: Units compared at once: each takes about 100 rows of as many numbers as there are landmarks.
+STEP = 500
 #: Look-alike characters read as letters (fixed values).
 ALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 EDGE = 31
@@ -82,7 +84,7 @@ class Landmarks:
         self.weights = np.zeros((len(used), len(strings)), np.float32)
         self.weights[column, unit] = weight
 
-    def kernel(self, units: list[str], step: int = 2000) -> np.ndarray:
+    def kernel(self, units: list[str], step: int = STEP) -> np.ndarray:
         """The normalised kernel of each unit with each landmark."""
         out = np.zeros((len(units), self.weights.shape[1]), np.float32)
         for at in range(0, len(units), step):
@@ -92,5 +94,7 @@ class Landmarks:
             unit, column, weight = unit[kept], column[kept], weight[kept].astype(np.float32)
             if len(unit):
                 first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
-                out[at + unit[first]] = np.add.reduceat(self.weights[column] * weight[:, None], first, axis=0)
+                rows = self.weights[column]
+                rows *= weight[:, None]
+                out[at + unit[first]] = np.add.reduceat(rows, first, axis=0)
         return out

@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -356,11 +355,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
         raise ValueError(f"docs has a column {column} already")
     scorer = Scorer(model)
 
-    @F.pandas_udf("double")
-    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string(), from_pandas=True)], ["text"])
-            yield pd.Series(np.concatenate([scorer.texts(part.column(0)) for part in chunks(batch, 0, 1_500_000)] or [np.zeros(0)]))
+            batch = pa.RecordBatch.from_arrays([texts], ["text"])
+            yield pa.array(np.concatenate([scorer.texts(part.column(0)) for part in chunks(batch, 0, 1_500_000)] or [np.zeros(0)]))
         scorer.__init__(model)
         give_back()
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -11,7 +12,7 @@ import pytest
 
 from tests.conftest import rows
 from tessera.functions import bytewords
-from tessera.llm import arrow_output, bagminhash, chat, exact_dedup, html_text, licences, media, mixing, near_dedup, packing, queries, tiff, tokens, toxicity
+from tessera.llm import arrow_output, bagminhash, chat, common, exact_dedup, html_text, licences, media, mixing, near_dedup, packing, queries, tiff, tokens, toxicity
 from tessera.llm.common import scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, mark string"
@@ -600,3 +601,44 @@ def test_pipeline(spark, sf):
             assert out.columns == docs.columns
         docs = p.written(out, name)
     assert docs.count() > 0
+
+
+def test_kernel_memory():
+    """Comparing many units takes a few slices' memory, not one of thousands of units by all landmarks."""
+    r = random.Random(4)
+    units = ["".join(r.choice("abcdefgh") for _ in range(10)) for _ in range(4000)]
+    against = toxicity.sk.Landmarks(units[:64])
+    tracemalloc.start()
+    try:
+        got = against.kernel(units)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40_000_000 and (got == against.kernel(units, step=2000)).all()
+
+
+def test_tables_of_numbers_are_few_files(spark):
+    most = common.FILES * spark.sparkContext.defaultParallelism
+    rows_ = spark.range(0, 5000, 1, most + 40)
+    table = common.written(rows_, "numbers", few=True)
+    assert len(table.inputFiles()) <= most and sorted(x.id for x in table.collect()) == list(range(5000))
+    assert len(common.written(rows_, "all").inputFiles()) == most + 40
+
+
+@pytest.mark.parametrize("made", [exact_dedup.distinct_blocks, exact_dedup.described])
+def test_exact_dedup_works_on_slices(monkeypatch, made):
+    """A large Arrow batch is not turned into Python strings as a whole."""
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            batch = pa.RecordBatch.from_arrays([pa.array(["x" * 100_000] * 100), pa.array(range(100))], ["text", "doc_id"])
+            return list(f(iter([batch])))
+
+    sizes = []
+    monkeypatch.setattr(exact_dedup, "_texts", lambda batch, f=exact_dedup._texts: (sizes.append(batch.num_rows), f(batch))[1])
+    monkeypatch.setattr(exact_dedup.F, "col", lambda name: name)
+    out = made(Docs(), "text", 4096) if made is exact_dedup.distinct_blocks else made(Docs(), "doc_id", "text", 4096)
+    assert len(sizes) > 1 and sum(sizes) == 100 and max(sizes) < 100 and out
