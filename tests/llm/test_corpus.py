@@ -623,6 +623,8 @@ def test_tables_of_numbers_are_few_files(spark):
     table = common.written(rows_, "numbers", few=True)
     assert len(table.inputFiles()) <= most and sorted(x.id for x in table.collect()) == list(range(5000))
     assert len(common.written(rows_, "all").inputFiles()) == most + 40
+    large = spark.range(0, 5000, 1, most + 40).join(spark.range(common.FILE_BYTES * (most + 30) // 8), "id", "left_semi")  # bytes for more files
+    assert common.bytes_read(large) // common.FILE_BYTES >= most + 30
 
 
 @pytest.mark.parametrize("made", [exact_dedup.distinct_blocks, exact_dedup.described])
